@@ -17,6 +17,7 @@ import base64
 import bisect
 import functools
 import hashlib
+import operator
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame
@@ -25,8 +26,8 @@ from pyspark.sql import types as T
 from .common import add_columns
 
 #: Bounds of what a worker keeps: parts of texts (twice as many pieces), states of the transducer.
-MEMO = 250_000
-STATES = 300_000
+MEMO = 150_000
+STATES = 200_000
 FEW = 6
 FIELDS = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
 
@@ -36,6 +37,9 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+_said, _count, _back = map(operator.itemgetter, range(3))
+
+
 class Transducer:
     """Encodes one piece (a match of the pattern) at a time; its arrows are kept over pieces."""
 
@@ -53,7 +57,7 @@ class Transducer:
     def _reset(self):
         self.number: dict[tuple[int, bytes], int] = {}
         self.state: list[tuple[int, bytes, tuple]] = []
-        self.arrows: dict[int, tuple[int, tuple[int, ...]]] = {}  # by 256 * state + byte
+        self.arrows: dict[int, int | tuple[int, tuple[int, ...]]] = {}  # by 256 * state + byte; only a state if nothing is emitted
         self.start = self._name(-1, b"", ((0, ()),))
 
     def _name(self, last: int, rest: bytes, live: tuple) -> int:
@@ -61,7 +65,7 @@ class Transducer:
         if live[0][1]:
             key = rest, live
         elif last >= 0 and len(rest) > 1 and len(follow := self.following(rest)) <= FEW:
-            key = rest, live, tuple([self.side_by_side(last, t) for t in follow])
+            key = rest, live, sum([self.side_by_side(last, t) << k for k, t in enumerate(follow)])
         else:
             key = last, rest
         n = self.number.get(key)
@@ -102,7 +106,7 @@ class Transducer:
         key = a << 32 | b
         found = self.fits.get(key)
         if found is None:
-            if len(self.fits) > 2 * self.most:
+            if len(self.fits) > self.most:
                 self.fits.clear()
             found = self.fits[key] = self._side_by_side(a, b)
         return found
@@ -174,12 +178,14 @@ class Transducer:
         for byte in piece:
             step = arrows.get(state << 8 | byte)
             if step is None:
-                step = arrows[state << 8 | byte] = self._step(state, byte)
-            state, emitted = step
-            if emitted:
-                out += emitted
-        last, rest, live = self.state[state]
-        out += live[-1][1]  # the chain of all bytes
+                to, emitted = self._step(state, byte)
+                step = arrows[state << 8 | byte] = (to, emitted) if emitted else to
+            if step.__class__ is int:
+                state = step
+            else:
+                state = step[0]
+                out += step[1]
+        out += self.state[state][2][-1][1]  # the chain of all bytes
         return out
 
 
@@ -255,24 +261,20 @@ class Encoder:
         if not text:
             none = hashlib.sha256(b"").hexdigest()
             return 0, none, none
-        memo, said, n, decoded = self.memo, [], 0, hashlib.sha256()
+        memo, machine = self.memo, Utf8()
         if len(memo) > MEMO:
             memo.clear()
         if len(self.pieces) > 2 * MEMO:
             self.pieces.clear()
-        back, machine = [], Utf8()
-        for part in self.parts(text):
-            got = memo.get(part)
-            if got is None:
-                ids = self.ids(part)
-                got = " ".join(map(str, ids)), len(ids), b"".join([self.token[i] for i in ids])
-                if len(part) < 100:
-                    memo[part] = got
-            said.append(got[0])
-            n += got[1]
-            back.append(got[2])
-        decoded.update(machine.feed(b"".join(back), final=True).encode())
-        return n, hashlib.sha256(" ".join(said).encode()).hexdigest(), decoded.hexdigest()
+        parts = self.parts(text)
+        got = list(map(memo.get, parts))
+        for k in [k for k, x in enumerate(got) if x is None] if None in got else ():
+            ids = self.ids(parts[k])
+            got[k] = " ".join(map(str, ids)), len(ids), b"".join([self.token[i] for i in ids])
+            if len(parts[k]) < 100:
+                memo[parts[k]] = got[k]
+        said, back = " ".join(map(_said, got)), machine.feed(b"".join(map(_back, got)), final=True)
+        return sum(map(_count, got)), hashlib.sha256(said.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()
 
 
 @functools.lru_cache(1)

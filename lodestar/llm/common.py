@@ -61,7 +61,7 @@ def add_columns(df: DataFrame, read: list[str], make: Callable[[], Callable[...,
 
     def run(batches):
         step = make()
-        for b in batches:
+        for b in (whole.slice(at, 1000) for whole in batches for at in range(0, whole.num_rows, 1000)):
             got = step(*(b.column(c).to_pylist() for c in read))
             arrays = [b.column(c) for c in keep] + [pa.array(v, t) for v, t in zip(got, types, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, names)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality
+from . import bagminhash, bpe, castore, mixing, quality
 from .common import table
 
 
@@ -20,5 +20,22 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")), keep=["doc_id"])
 
 
-QUERIES = {"op3_bpe": op3_bpe, "op4_quality": op4_quality}
+def op7_castore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    where, root = castore.store_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return castore.read_store(spark, where, root)
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each row of documents, with the words that the mix takes of it."""
+    chosen = mixing.decide(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    each = chosen.withColumn("again", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
+    return each.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def op10_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document with its class: the least doc_id among its copies and near copies."""
+    return bagminhash.classes(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id")
+
+
+QUERIES = {"op3_bpe": op3_bpe, "op4_quality": op4_quality, "op7_castore": op7_castore, "op8_mixing": op8_mixing, "op10_bagminhash": op10_bagminhash}
 ORACLE: dict[str, str] = {}
