@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import bisect
 import functools
+import gc
 import hashlib
 import operator
 from collections.abc import Iterable, Iterator
@@ -25,9 +26,8 @@ from pyspark.sql import types as T
 
 from .common import add_columns
 
-#: Bounds of what a worker keeps: parts of texts (twice as many pieces), states of the transducer.
-MEMO = 150_000
-STATES = 200_000
+#: Bounds of what a worker keeps: parts of texts and pieces in either of two generations, states of the transducer.
+PARTS, PIECES, STATES = 70_000, 120_000, 150_000
 FEW = 6
 FIELDS = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
 
@@ -238,7 +238,9 @@ class Encoder:
         self.token = [self.machine.token.get(i, b"") for i in range(max(ranks.values()) + 1)]
         self.wide, self.border = re.compile(r"\s\s|^\s|\s\Z").search, re.compile(r"(?<=\S) (?=\S)").split
         self.memo: dict[str, tuple[str, int, bytes]] = {}
+        self.memo_old: dict[str, tuple[str, int, bytes]] = {}
         self.pieces: dict[str, tuple[int, ...]] = {}
+        self.pieces_old: dict[str, tuple[int, ...]] = {}
 
     def parts(self, text: str) -> list[str]:
         """The text cut before each single space between two other characters; no match of the pattern spans such a cut."""
@@ -250,29 +252,34 @@ class Encoder:
         for piece in self.find(text):
             got = pieces.get(piece)
             if got is None:
-                got = encode(piece.encode("utf-8", "surrogatepass"))
+                got = self.pieces_old.get(piece)
+                if got is None:
+                    got = tuple(encode(piece.encode("utf-8", "surrogatepass")))
                 if len(piece) < 40:
-                    pieces[piece] = got = tuple(got)
+                    pieces[piece] = got
             out += got
         return out
 
+    def entry(self, part: str) -> tuple[str, int, bytes]:
+        ids = self.ids(part)
+        return " ".join(map(str, ids)), len(ids), b"".join([self.token[i] for i in ids])
+
     def digests(self, text: str) -> tuple[int, str, str]:
         """Count of ids, SHA-256 of the ids in decimal and of the bytes that they decode to."""
         if not text:
             none = hashlib.sha256(b"").hexdigest()
             return 0, none, none
-        memo, machine = self.memo, Utf8()
-        if len(memo) > MEMO:
-            memo.clear()
-        if len(self.pieces) > 2 * MEMO:
-            self.pieces.clear()
-        parts = self.parts(text)
+        if len(self.memo) > PARTS:
+            self.memo, self.memo_old = {}, self.memo
+        if len(self.pieces) > PIECES:
+            self.pieces, self.pieces_old = {}, self.pieces
+        memo, parts = self.memo, self.parts(text)
         got = list(map(memo.get, parts))
         for k in [k for k, x in enumerate(got) if x is None] if None in got else ():
-            ids = self.ids(parts[k])
-            got[k] = " ".join(map(str, ids)), len(ids), b"".join([self.token[i] for i in ids])
+            got[k] = memo.get(parts[k]) or self.memo_old.get(parts[k]) or self.entry(parts[k])
             if len(parts[k]) < 100:
                 memo[parts[k]] = got[k]
+        machine = Utf8()
         said, back = " ".join(map(_said, got)), machine.feed(b"".join(map(_back, got)), final=True)
         return sum(map(_count, got)), hashlib.sha256(said.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()
 
@@ -280,6 +287,7 @@ class Encoder:
 @functools.lru_cache(1)
 def encoder_of(path: str, pattern: str) -> Encoder:
     """One for each worker process, kept over its tasks."""
+    gc.set_threshold(200_000, 50, 1000)  # its tables hold no cycles
     return Encoder(path, pattern)
 
 
