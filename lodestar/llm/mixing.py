@@ -65,8 +65,8 @@ def meet(a: float, b: float, u: float) -> tuple[float, float]:
 
 
 def round_group(rows: list[tuple], level: int) -> list[float]:
-    """Fractions of (size, doc_id, key, fraction) after meeting in order of size; one at most stays open."""
-    order = sorted(range(len(rows)), key=lambda k: (rows[k][0], rows[k][2], rows[k][1] is not None, rows[k][1] or 0))
+    """Fractions of (size, doc_id, key, fraction) after meeting in order of size, the largest first; one at most stays open."""
+    order = sorted(range(len(rows)), key=lambda k: (-rows[k][0], rows[k][2], rows[k][1] is not None, rows[k][1] or 0))
     out, held = [r[3] for r in rows], None
     for k in order:
         if not 1e-9 < out[k] < 1 - 1e-9:

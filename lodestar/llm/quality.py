@@ -23,7 +23,9 @@ from .common import WORD, add_columns
 
 BUCKETS = 1 << 16
 #: Mean log ratio below which a document goes.
-THRESHOLD = -0.5
+THRESHOLD = -0.17
+#: Pseudo-counts for each bin, dealt as the raw corpus is: a small target says little, and then nobody is rejected by it.
+PRIOR = 2.0
 #: At most so many labelled rows, those with the least hash, say which documents are trusted.
 TRUSTED = 20_000
 MEMO = 400_000
@@ -114,7 +116,7 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, trusted_rows
     if not sums[1].sum():
         return np.zeros(buckets)
     prior = (sums[0] + 0.5) / (sums[0] + 0.5).sum()
-    target = (sums[1] + buckets * 0.1 * prior) / (sums[1].sum() + buckets * 0.1)
+    target = (sums[1] + buckets * PRIOR * prior) / (sums[1].sum() + buckets * PRIOR)
     return np.log(target) - np.log(prior)
 
 

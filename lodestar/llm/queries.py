@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, bpe, castore, mixing, quality
+from . import bagminhash, bpe, castore, line_dedup, mixing, quality
 from .common import table
 
 
@@ -37,5 +37,25 @@ def op10_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.classes(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id")
 
 
-QUERIES = {"op3_bpe": op3_bpe, "op4_quality": op4_quality, "op7_castore": op7_castore, "op8_mixing": op8_mixing, "op10_bagminhash": op10_bagminhash}
-ORACLE: dict[str, str] = {}
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each document, its lines, those deleted as later repeats, and the SHA-256 of what stays."""
+    done = line_dedup.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_lines", "n_removed_lines", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op3_bpe": op3_bpe, "op4_quality": op4_quality, "op7_castore": op7_castore, "op8_mixing": op8_mixing, "op10_bagminhash": op10_bagminhash}
+
+#: Windows of at least 50 words (spaces and one) by their text; the Spark query finds the same by fingerprints and hashes.
+LINE_DEDUP_SQL = """
+with l0 as (select doc_id d, text, unnest(string_split(coalesce(text, ''), chr(10))) line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 pos from documents),
+l as (select *, length(line) - length(replace(line, ' ', '')) + 1 w from l0 where length(trim(translate(line, chr(9) || chr(13) || chr(12) || chr(11), '    '))) > 0),
+s as (select *, sum(w) over (partition by d order by pos)::bigint til, (sum(w) over (partition by d order by pos) - w)::bigint bef, (sum(w) over (partition by d))::bigint al from l),
+f as (select d, pos, bef, til, al, list(line) over x ls, min(pos) over x st, max(pos) over x en from s window x as (partition by d order by bef range between current row and 49 following)),
+b as (select d, pos, bef, til, al, list(line) over x ls, min(pos) over x st, max(pos) over x en from s window x as (partition by d order by til range between 49 preceding and current row)),
+ws as (select d, ls, st, en from f where al - bef >= 50 union select d, ls, st, en from b where til >= 50),
+fi as (select *, first_value(d) over y fd, first_value(en) over y fe from ws window y as (partition by ls order by d, st)),
+gone as (select distinct d, unnest(generate_series(st, en)) pos from fi where fd <> d or fe < st)
+select doc_id, count(*) n_lines, count(g.pos) n_removed_lines, sha256(coalesce(string_agg(line, chr(10) order by l0.pos) filter (where g.pos is null), '')) kept_sha256
+from (select d doc_id, * from l0) l0 left join gone g on g.d = l0.d and g.pos = l0.pos group by doc_id"""
+
+ORACLE: dict[str, str] = {"op1_line_dedup": LINE_DEDUP_SQL}
