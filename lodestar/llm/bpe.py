@@ -18,7 +18,6 @@ import bisect
 import functools
 import gc
 import hashlib
-import operator
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame
@@ -27,7 +26,7 @@ from pyspark.sql import types as T
 from .common import add_columns
 
 #: Bounds of what a worker keeps: parts of texts and pieces in either of two generations, states of the transducer.
-PARTS, PIECES, STATES = 70_000, 120_000, 150_000
+PARTS, PIECES, STATES = 150_000, 150_000, 250_000
 FEW = 6
 FIELDS = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
 
@@ -37,9 +36,6 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-_said, _count, _back = map(operator.itemgetter, range(3))
-
-
 class Transducer:
     """Encodes one piece (a match of the pattern) at a time; its arrows are kept over pieces."""
 
@@ -106,7 +102,7 @@ class Transducer:
         key = a << 32 | b
         found = self.fits.get(key)
         if found is None:
-            if len(self.fits) > self.most:
+            if len(self.fits) > 2 * self.most:
                 self.fits.clear()
             found = self.fits[key] = self._side_by_side(a, b)
         return found
@@ -237,10 +233,11 @@ class Encoder:
         self.machine, self.find = Transducer(ranks), regex.compile(pattern).findall
         self.token = [self.machine.token.get(i, b"") for i in range(max(ranks.values()) + 1)]
         self.wide, self.border = re.compile(r"\s\s|^\s|\s\Z").search, re.compile(r"(?<=\S) (?=\S)").split
-        self.memo: dict[str, tuple[str, int, bytes]] = {}
-        self.memo_old: dict[str, tuple[str, int, bytes]] = {}
-        self.pieces: dict[str, tuple[int, ...]] = {}
-        self.pieces_old: dict[str, tuple[int, ...]] = {}
+        self.spelled = {str(i): t for i, t in self.machine.token.items()}.__getitem__
+        self.memo: dict[str, str] = {}
+        self.memo_old: dict[str, str] = {}
+        self.pieces: dict[str, str] = {}
+        self.pieces_old: dict[str, str] = {}
 
     def parts(self, text: str) -> list[str]:
         """The text cut before each single space between two other characters; no match of the pattern spans such a cut."""
@@ -248,21 +245,21 @@ class Encoder:
         return got[:1] + [f" {x}" for x in got[1:]]
 
     def ids(self, text: str) -> list[int]:
-        out, pieces, encode = [], self.pieces, self.machine.encode
+        return list(map(int, self.said(text).split())) if text else []
+
+    def said(self, text: str) -> str:
+        """The ids of a text, in decimal with spaces; pieces that were met are not encoded again."""
+        out, pieces = [], self.pieces
         for piece in self.find(text):
             got = pieces.get(piece)
             if got is None:
                 got = self.pieces_old.get(piece)
                 if got is None:
-                    got = tuple(encode(piece.encode("utf-8", "surrogatepass")))
+                    got = " ".join(map(str, self.machine.encode(piece.encode("utf-8", "surrogatepass"))))
                 if len(piece) < 40:
                     pieces[piece] = got
-            out += got
-        return out
-
-    def entry(self, part: str) -> tuple[str, int, bytes]:
-        ids = self.ids(part)
-        return " ".join(map(str, ids)), len(ids), b"".join([self.token[i] for i in ids])
+            out.append(got)
+        return " ".join(out)
 
     def digests(self, text: str) -> tuple[int, str, str]:
         """Count of ids, SHA-256 of the ids in decimal and of the bytes that they decode to."""
@@ -275,13 +272,15 @@ class Encoder:
             self.pieces, self.pieces_old = {}, self.pieces
         memo, parts = self.memo, self.parts(text)
         got = list(map(memo.get, parts))
-        for k in [k for k, x in enumerate(got) if x is None] if None in got else ():
-            got[k] = memo.get(parts[k]) or self.memo_old.get(parts[k]) or self.entry(parts[k])
-            if len(parts[k]) < 100:
-                memo[parts[k]] = got[k]
-        machine = Utf8()
-        said, back = " ".join(map(_said, got)), machine.feed(b"".join(map(_back, got)), final=True)
-        return sum(map(_count, got)), hashlib.sha256(said.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()
+        if None in got:
+            for k in [k for k, x in enumerate(got) if x is None]:
+                got[k] = memo.get(parts[k]) or self.memo_old.get(parts[k]) or self.said(parts[k])
+                if len(parts[k]) < 100:
+                    memo[parts[k]] = got[k]
+        said = " ".join(got)
+        ids = said.split(" ")
+        back = Utf8().feed(b"".join(map(self.spelled, ids)), final=True)
+        return len(ids), hashlib.sha256(said.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()
 
 
 @functools.lru_cache(1)
