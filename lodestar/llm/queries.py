@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, bpe, castore, line_dedup, mixing, quality, suffix_dedup
+from . import bagminhash, bpe, castore, line_dedup, mixing, pii, quality, suffix_dedup
 from .common import table
 
 
@@ -47,7 +47,11 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op3_bpe": op3_bpe, "op4_quality": op4_quality, "op7_castore": op7_castore, "op8_mixing": op8_mixing, "op9_suffix_dedup": op9_suffix_dedup, "op10_bagminhash": op10_bagminhash}
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op3_bpe": op3_bpe, "op4_quality": op4_quality, "op5_pii": op5_pii, "op7_castore": op7_castore, "op8_mixing": op8_mixing, "op9_suffix_dedup": op9_suffix_dedup, "op10_bagminhash": op10_bagminhash}
 
 #: Windows of at least 50 words (spaces and one) by their text; the Spark query finds the same by fingerprints and hashes.
 LINE_DEDUP_SQL = """
