@@ -153,8 +153,8 @@ def _packed(words, numbers):
     return pack(*shingles(words, numbers))
 
 
-def links(docs: DataFrame, similar: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
-    """(nodes, links): a node for each different text, with its least doc_id; a link (a, b) for near texts."""
+def grouped(docs: DataFrame, similar: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
+    """(nodes, labels): a node for each different text, with its least doc_id; the component of each node that has a link."""
     k1, k2 = doc_key()
     keyed = docs.select("doc_id", k1.alias("node"), k2.alias("k2"), "text")
     banded = keyed.mapInArrow(_reader(_bands), "doc_id long, node long, k2 long, made array<long>")
@@ -178,14 +178,22 @@ def links(docs: DataFrame, similar: float = SIMILAR) -> tuple[DataFrame, DataFra
     both = pairs.join(sets, "node").join(sets.select(F.col("node").alias("hub"), F.col("bag").alias("other")), "hub")
     told = cut(both.select("node", "hub", "bag", "other").mapInArrow(verify, "node long, hub long, near boolean"))
     found = told.where("near").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    failed = told.where("not near").select("node", "hub")
+    labels = components(found)
+    of = lambda name: labels.select(F.col("node").alias(name), F.col("label").alias(f"{name}_in"))
+    failed = told.where("not near").select("node", "hub").join(of("node"), "node", "left").join(of("hub"), "hub", "left")
+    failed = cut(failed.where(F.coalesce("node_in", "node") != F.coalesce("hub_in", "hub")).select("node", "hub"))
     if failed.isEmpty():
-        return nodes, found
-    return nodes, found.unionByName(_others(held, failed, sets, similar))
+        return nodes, labels
+    more = cut(_others(held, failed, sets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), similar))
+    return nodes, labels if more.isEmpty() else components(found.unionByName(more))
 
 
 def _others(held: DataFrame, failed: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
-    """Links of the members that the least member of their bucket isn't near to, with any member: in blocks of bounded size."""
+    """Links between components that meet in a bucket, where its least member showed none: in blocks of bounded size.
+
+    Every member of another component than the least one's is held against all members of other components than its own; of the
+    links that a block finds, those that join what the block hasn't joined yet are listed, one fewer than it has components.
+    """
     left = held.select("key", "node", "hub", "n").join(failed, ["node", "hub"]).select("key", "node", "n")
     open_ = left.groupBy("key").agg(F.count("*").alias("m"), F.first("n").alias("n")).where("n > 2")
     sized = open_.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("mb"), F.ceil(F.col("n") / BLOCK).cast("int").alias("nb"))
@@ -195,10 +203,11 @@ def _others(held: DataFrame, failed: DataFrame, sets: DataFrame, similar: float)
     given = seek.unionByName(all_).join(sets, "node")
 
     def compare(key, table):
-        seeks, node = np.array(table.column("seeks").to_pylist(), bool), np.array(table.column("node").to_pylist(), np.int64)
+        seeks, node, label = np.array(table.column("seeks").to_pylist(), bool), table.column("node").to_numpy(), table.column("label").to_numpy()
         bags = [unpack(x) for x in table.column("bag").to_pylist()]
         a, b = np.flatnonzero(seeks), np.flatnonzero(~seeks)
-        out_a, out_b = [], []
+        names, label = np.unique(label, return_inverse=True)
+        joined, out = np.arange(len(names)), []
         if len(a) and len(b):
             h, w = np.concatenate([bags[k][0] for k in b]), np.concatenate([bags[k][1] for k in b])
             of = np.repeat(np.arange(len(b)), [len(bags[k][0]) for k in b])
@@ -212,11 +221,11 @@ def _others(held: DataFrame, failed: DataFrame, sets: DataFrame, similar: float)
                 at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
                 both = np.bincount(of[at], np.minimum(np.repeat(wx, n), w[at]), len(b))
                 near = both >= similar * (wx.sum() + total - both)
-                for j in np.flatnonzero(near):
-                    if node[b[j]] != node[k]:
-                        out_a.append(int(node[k]))
-                        out_b.append(int(node[b[j]]))
-        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+                for j in b[near & (joined[label[b]] != joined[label[k]])]:
+                    if joined[label[j]] != joined[label[k]]:
+                        out.append((int(node[k]), int(node[j])))
+                        joined[joined == joined[label[j]]] = joined[label[k]]
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
     return given.groupBy("key", "mi", "ni").applyInArrow(lambda key, t: compare(key, t), "a long, b long").distinct()
 
@@ -238,8 +247,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """(doc_id, node, k2, class_id, first): a row for each row of ``docs``; ``first`` is the key of the row that its class keeps."""
-    nodes, found = links(docs, similar)
-    labels = components(found)
+    nodes, labels = grouped(docs, similar)
     named = nodes.select("node", "k2", "doc_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     key = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node", "k2")).alias("first")
     lead = named.groupBy("label").agg(key)
@@ -251,8 +259,7 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
 
 def deduplicate(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """One row of each class: that of its least doc_id, with all its columns."""
-    nodes, found = links(docs, similar)
-    labels = components(found)
+    nodes, labels = grouped(docs, similar)
     named = nodes.select("node", "k2", "doc_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     first = named.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node", "k2")).alias("first"))
     a, b, c = (unused(docs.columns, n) for n in ("k1", "k2", "nth"))
