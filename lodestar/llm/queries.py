@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, bpe, castore, line_dedup, mixing, pii, quality, suffix_dedup
+from . import bagminhash, balltree, bpe, castore, line_dedup, mixing, pii, quality, suffix_dedup
 from .common import table
 
 
@@ -51,7 +51,11 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op3_bpe": op3_bpe, "op4_quality": op4_quality, "op5_pii": op5_pii, "op7_castore": op7_castore, "op8_mixing": op8_mixing, "op9_suffix_dedup": op9_suffix_dedup, "op10_bagminhash": op10_bagminhash}
+def op6_balltree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balltree.top_k(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op3_bpe": op3_bpe, "op4_quality": op4_quality, "op5_pii": op5_pii, "op6_balltree": op6_balltree, "op7_castore": op7_castore, "op8_mixing": op8_mixing, "op9_suffix_dedup": op9_suffix_dedup, "op10_bagminhash": op10_bagminhash}
 
 #: Windows of at least 50 words (spaces and one) by their text; the Spark query finds the same by fingerprints and hashes.
 LINE_DEDUP_SQL = """
@@ -66,4 +70,10 @@ gone as (select distinct d, unnest(generate_series(st, en)) pos from fi where fd
 select doc_id, count(*) n_lines, count(g.pos) n_removed_lines, sha256(coalesce(string_agg(line, chr(10) order by l0.pos) filter (where g.pos is null), '')) kept_sha256
 from (select d doc_id, * from l0) l0 left join gone g on g.d = l0.d and g.pos = l0.pos group by doc_id"""
 
-ORACLE: dict[str, str] = {"op1_line_dedup": LINE_DEDUP_SQL}
+TOP_K_SQL = """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) v from embeddings
+  where vec_id is not null and embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id query_id, b.vec_id, list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2]))::bigint score from v a join v b on a.vec_id <> b.vec_id and len(a.v) = len(b.v) where a.vec_id % 50 = 0)
+select query_id, (row_number() over (partition by query_id order by score desc, vec_id))::int as rank, vec_id, score from s qualify rank <= 5"""
+
+ORACLE: dict[str, str] = {"op1_line_dedup": LINE_DEDUP_SQL, "op6_balltree": TOP_K_SQL}
