@@ -12,7 +12,6 @@ result is replaced by it; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
-import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -36,6 +35,9 @@ class Words(dict):
     """Word -> number, with a hash kept for each number. Bounded: start() forgets all once it is large."""
 
     def __init__(self):
+        import xxhash
+
+        self.hash = xxhash.xxh64_intdigest
         self.hashes = np.zeros(1 << 12, np.uint64)
         self.chars = np.zeros(1 << 12, np.int64)
 
@@ -44,8 +46,7 @@ class Words(dict):
         if n >= len(self.hashes):
             self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
             self.chars = np.concatenate([self.chars, np.zeros_like(self.chars)])
-        raw = word.encode("utf-8", "surrogatepass")
-        self.hashes[n] = zlib.crc32(raw) | zlib.crc32(raw, 0x9E3779B9) << 32
+        self.hashes[n] = self.hash(word.encode("utf-8", "surrogatepass"))
         self.chars[n] = len(word)
         return n
 

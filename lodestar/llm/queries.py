@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, balltree, bpe, castore, line_dedup, mixing, pii, quality, suffix_dedup
+from . import bagminhash, balltree, bpe, castore, line_dedup, mixing, pii, quality, recurrent, suffix_dedup
 from .common import table
 
 
@@ -55,7 +55,12 @@ def op6_balltree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balltree.top_k(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op3_bpe": op3_bpe, "op4_quality": op4_quality, "op5_pii": op5_pii, "op6_balltree": op6_balltree, "op7_castore": op7_castore, "op8_mixing": op8_mixing, "op9_suffix_dedup": op9_suffix_dedup, "op10_bagminhash": op10_bagminhash}
+def op2_recurrent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return recurrent.score(docs, *recurrent.fit(docs))
+
+
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_recurrent": op2_recurrent, "op3_bpe": op3_bpe, "op4_quality": op4_quality, "op5_pii": op5_pii, "op6_balltree": op6_balltree, "op7_castore": op7_castore, "op8_mixing": op8_mixing, "op9_suffix_dedup": op9_suffix_dedup, "op10_bagminhash": op10_bagminhash}
 
 #: Windows of at least 50 words (spaces and one) by their text; the Spark query finds the same by fingerprints and hashes.
 LINE_DEDUP_SQL = """
