@@ -24,9 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import add_columns
+from .pieces import Recent, splitter
 
-#: Bounds of what a worker keeps: parts of texts and pieces in either of two generations, states of the transducer.
-PARTS, PIECES, STATES = 150_000, 150_000, 250_000
+#: Bounds of what a worker keeps: pieces in either of two generations, states of the transducer.
+PIECES, STATES = 250_000, 250_000
 FEW = 6
 FIELDS = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
 
@@ -222,63 +223,28 @@ def decode_stream(ids: Iterable[int], token: dict[int, bytes] | list[bytes], eve
 
 
 class Encoder:
-    """Whole texts. Pieces between single spaces are encoded once and kept, up to a bound."""
+    """Whole texts, piece by piece; what pieces that were met became is kept, up to a bound."""
 
     def __init__(self, path: str, pattern: str):
-        import re
-
-        import regex
-
-        ranks = load_ranks(path)
-        self.machine, self.find = Transducer(ranks), regex.compile(pattern).findall
-        self.token = [self.machine.token.get(i, b"") for i in range(max(ranks.values()) + 1)]
-        self.wide, self.border = re.compile(r"\s\s|^\s|\s\Z").search, re.compile(r"(?<=\S) (?=\S)").split
+        self.machine, self.split = Transducer(load_ranks(path)), splitter(pattern)
         self.spelled = {str(i): t for i, t in self.machine.token.items()}.__getitem__
-        self.memo: dict[str, str] = {}
-        self.memo_old: dict[str, str] = {}
-        self.pieces: dict[str, str] = {}
-        self.pieces_old: dict[str, str] = {}
-
-    def parts(self, text: str) -> list[str]:
-        """The text cut before each single space between two other characters; no match of the pattern spans such a cut."""
-        got = self.border(text) if self.wide(text) else text.split(" ")
-        return got[:1] + [f" {x}" for x in got[1:]]
+        self.kept = Recent(PIECES)
 
-    def ids(self, text: str) -> list[int]:
-        return list(map(int, self.said(text).split())) if text else []
+    def _said(self, pieces: list[str]) -> list[str]:
+        encode = self.machine.encode
+        return [" ".join(map(str, encode(p.encode("utf-8", "surrogatepass")))) for p in pieces]
 
     def said(self, text: str) -> str:
-        """The ids of a text, in decimal with spaces; pieces that were met are not encoded again."""
-        out, pieces = [], self.pieces
-        for piece in self.find(text):
-            got = pieces.get(piece)
-            if got is None:
-                got = self.pieces_old.get(piece)
-                if got is None:
-                    got = " ".join(map(str, self.machine.encode(piece.encode("utf-8", "surrogatepass"))))
-                if len(piece) < 40:
-                    pieces[piece] = got
-            out.append(got)
-        return " ".join(out)
+        """The ids of a text, in decimal with spaces."""
+        return " ".join(self.kept.all(self.split(text), self._said))
+
+    def ids(self, text: str) -> list[int]:
+        return list(map(int, self.said(text).split()))
 
     def digests(self, text: str) -> tuple[int, str, str]:
         """Count of ids, SHA-256 of the ids in decimal and of the bytes that they decode to."""
-        if not text:
-            none = hashlib.sha256(b"").hexdigest()
-            return 0, none, none
-        if len(self.memo) > PARTS:
-            self.memo, self.memo_old = {}, self.memo
-        if len(self.pieces) > PIECES:
-            self.pieces, self.pieces_old = {}, self.pieces
-        memo, parts = self.memo, self.parts(text)
-        got = list(map(memo.get, parts))
-        if None in got:
-            for k in [k for k, x in enumerate(got) if x is None]:
-                got[k] = memo.get(parts[k]) or self.memo_old.get(parts[k]) or self.said(parts[k])
-                if len(parts[k]) < 100:
-                    memo[parts[k]] = got[k]
-        said = " ".join(got)
-        ids = said.split(" ")
+        said = self.said(text)
+        ids = said.split(" ") if said else []
         back = Utf8().feed(b"".join(map(self.spelled, ids)), final=True)
         return len(ids), hashlib.sha256(said.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()
 
@@ -300,7 +266,7 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: list[str] | None = No
         def step(texts):
             rows = [encoder.digests(t or "") for t in texts]
             out = [[r[k] for r in rows] for k in range(3)]
-            return out + [[[int(i) for p in encoder.parts(t or "") for i in encoder.ids(p)] for t in texts]] if with_ids else out
+            return out + [[encoder.ids(t or "") for t in texts]] if with_ids else out
 
         return step
 

@@ -19,9 +19,10 @@ gives an empty store; null ids come first; columns other than doc_id and text ar
 from __future__ import annotations
 
 import functools
+import gc
 import hashlib
+import json
 import os
-import re
 import uuid
 import zlib
 
@@ -32,14 +33,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import shared_dir
+from .pieces import Recent, narrow
 
 WINDOW, LEAST, MEAN, MOST = 16, 128, 512, 4096
-MEMO = 250_000
+MEMO, PIECES = 250_000, 250_000
+#: Fixed value: how byte-level tokenizers of this format cut a text.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 END = 2
 
 
 class Encoder:
-    """The tokenizers library over whole texts; parts between single spaces are encoded once and kept, up to a bound."""
+    """The tokenizers library, piece by piece where the cuts are certain; what pieces that were met became is kept."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -48,27 +52,41 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.kind = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
-        self.wide, self.border = re.compile(r"\s\s|^\s|\s\Z").search, re.compile(r"(?<=\S) (?=\S)").split
-        self.memo: dict[str, bytes] = {}
-
-    def parts(self, text: str) -> list[str]:
-        """The text cut before single spaces, where no match of a byte-level pattern goes on."""
-        got = self.border(text) if self.wide(text) else text.split(" ")
-        return got[:1] + [f" {x}" for x in got[1:]]
+        with open(path, "rb") as f:
+            setup = json.load(f)
+        before = setup["pre_tokenizer"] or {}
+        plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not setup.get("normalizer")
+        self.split = narrow(PATTERN).findall if plain else None
+        self.kept = Recent(PIECES)
+
+    def pieces(self, text: str) -> list[str]:
+        """Pieces that the library encodes alone as it does in the text; a text with other characters is one piece."""
+        if self.split is None:
+            return [text]
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return [text]
+        return self.split(text)
+
+    def _encode(self, pieces: list[str]) -> list[bytes]:
+        out = []
+        for at in range(0, len(pieces), 5000):
+            out += [np.array(got.ids, self.kind).tobytes() for got in self.library.encode_batch_fast(pieces[at : at + 5000], add_special_tokens=False)]
+        return out
 
     def batch(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        cut, memo = [self.parts(t) if t else [] for t in texts], self.memo
-        new = list({p for parts in cut for p in parts if p not in memo})
-        for at in range(0, len(new), 5000):
-            for part, got in zip(new[at : at + 5000], self.library.encode_batch_fast(new[at : at + 5000], add_special_tokens=False), strict=True):
-                memo[part] = np.array(got.ids, self.kind).tobytes()
-        return [np.frombuffer(b"".join([memo[p] for p in parts]), self.kind) for parts in cut]
+        pieces = [self.pieces(t) if t else [] for t in texts]
+        got, at, out = self.kept.all([p for part in pieces for p in part], self._encode), 0, []
+        for part in pieces:
+            out.append(np.frombuffer(b"".join(got[at : at + len(part)]), self.kind))
+            at += len(part)
+        return out
 
 
 @functools.lru_cache(1)
 def encoder_of(path: str) -> Encoder:
+    gc.set_threshold(200_000, 50, 1000)  # its tables hold no cycles
     return Encoder(path)
 
 
