@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,7 +61,19 @@ def op2_recurrent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recurrent.score(docs, *recurrent.fit(docs))
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_recurrent": op2_recurrent, "op3_bpe": op3_bpe, "op4_quality": op4_quality, "op5_pii": op5_pii, "op6_balltree": op6_balltree, "op7_castore": op7_castore, "op8_mixing": op8_mixing, "op9_suffix_dedup": op9_suffix_dedup, "op10_bagminhash": op10_bagminhash}
+QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
+    "op2_recurrent": op2_recurrent,
+    "op3_bpe": op3_bpe,
+    "op4_quality": op4_quality,
+    "op5_pii": op5_pii,
+    "op6_balltree": op6_balltree,
+    "op7_castore": op7_castore,
+    "op8_mixing": op8_mixing,
+    "op9_suffix_dedup": op9_suffix_dedup,
+    "op10_bagminhash": op10_bagminhash,
+    "pipeline": corpus_pipeline.run,
+}
 
 #: Windows of at least 50 words (spaces and one) by their text; the Spark query finds the same by fingerprints and hashes.
 LINE_DEDUP_SQL = """
