@@ -27,14 +27,14 @@ def task_score(terms: list[str], *columns: str):
 def forward(leads: DataFrame, edges: DataFrame) -> DataFrame:
     """(lead_id, dst_id, kind, ...): a lead's edges; of several to one target the last one stands."""
     hop = leads.select(F.col("id").alias("lead_id")).join(edges, F.col("lead_id") == F.col("src_id"))
-    last = F.row_number().over(Window.partitionBy("lead_id", "dst_id").orderBy(F.desc("seq")))
+    last = F.row_number().over(Window.partitionBy("lead_id", "dst_id").orderBy(F.desc("seq"), F.desc("kind"), F.desc("site_text")))
     return hop.withColumn("r", last).where("r = 1").drop("r", "src_id")
 
 
 def reverse(leads: DataFrame, edges: DataFrame) -> DataFrame:
     """(lead_id, src_id, kind, ...): edges into a lead; of several from one source the first stands."""
     hop = leads.select(F.col("id").alias("lead_id")).join(edges, F.col("lead_id") == F.col("dst_id"))
-    first = F.row_number().over(Window.partitionBy("lead_id", "src_id").orderBy("seq"))
+    first = F.row_number().over(Window.partitionBy("lead_id", "src_id").orderBy("seq", "kind", "site_text"))
     return hop.withColumn("r", first).where("r = 1").drop("r", "dst_id")
 
 
@@ -72,7 +72,7 @@ def nested_callees(leads: DataFrame, edges: DataFrame, nodes: DataFrame, terms:
     two = one.join(calls.select(F.col("src_id").alias("via"), F.col("dst_id").alias("callee_id"), "site_text", F.col("seq").alias("s2")), "via").where("callee_id <> lead_id")
     direct = leads.select(F.col("id").alias("lead_id")).join(edges.select(F.col("src_id").alias("lead_id"), F.col("dst_id").alias("callee_id")), "lead_id")
     fresh = two.join(direct, ["lead_id", "callee_id"], "left_anti")
-    once = fresh.groupBy("lead_id", "callee_id").agg(F.min_by(F.struct("via", "site_text"), F.struct("s1", "s2")).alias("first"), F.min(F.struct("s1", "s2")).alias("seen"))
+    once = fresh.groupBy("lead_id", "callee_id").agg(F.min(F.struct("s1", "s2", "via", "site_text")).alias("first"), F.min(F.struct("s1", "s2", "via")).alias("seen"))
     named = once.join(nodes.where("not external and not outline").select(F.col("id").alias("callee_id"), "name", "file"), "callee_id").withColumn("site_text", F.col("first.site_text"))
     scored = named.withColumn("task_score", task_score(terms, "name", "file", "site_text"))
     return top_in(scored, ["lead_id"], [F.desc("task_score"), "seen", "callee_id"], k).select("lead_id", "callee_id", F.col("first.via").alias("via"), "task_score", F.lit(NESTED_PRIOR).alias("prior"), "rank")
