@@ -34,42 +34,47 @@ def term_frequencies(docs: DataFrame) -> DataFrame:
     return postings.groupBy("id", "field", "term").agg(F.count("*").alias("tf"))
 
 
-def _has(field: str, term: str) -> Column:
-    return F.array_contains(field, F.lit(term))
+def reduced(docs: DataFrame, terms: list[str]) -> DataFrame:
+    """All that ranking needs of the documents for these terms: lengths, counts and substring hits, a few numbers each.
 
-
-def _statistics(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """The averages and, for each term of the query, its document frequency: one row."""
-    anywhere = [F.count_if(_any(t)).alias(f"df_{k}") for k, t in enumerate(terms)]
-    return docs.agg(F.count("*").alias("n"), *[F.avg(F.size(f)).alias(f"avg_{f}") for f in FIELDS], *anywhere)
+    Tokens are made and read once; what is kept is small, and both the statistics and the scores come from it.
+    """
+    known = F.array(*map(F.lit, terms)).cast("array<string>")
+    keep = [c for c in docs.columns if c not in FIELDS]
+    hits = {f: F.filter(f, lambda x: F.array_contains(known, x)) for f in FIELDS}
+    inside = {f: F.array_join(f, " ") for f in ("name", "signature", "literals")}
+    wide = docs.select(*keep, *[F.size(f).alias(f"len_{f}") for f in FIELDS], *[h.alias(f"hit_{f}") for f, h in hits.items()], *[t.alias(f"all_{f}") for f, t in inside.items()], "path")
+    tf = [_counts(f"hit_{f}", known).alias(f"tf_{f}") for f in FIELDS]
+    any_ = F.transform(known, lambda t: F.contains("all_name", t) | F.contains("all_signature", t) | F.contains("all_literals", t))
+    in_path = F.transform(known, lambda t: F.exists("path", lambda p: F.contains(p, t)))
+    return wide.select(*keep, *[f"len_{f}" for f in FIELDS], *tf, any_.alias("inside"), in_path.alias("in_path"))
 
 
-def _any(term: str) -> Column:
-    out = F.lit(False)
-    for f in FIELDS:
-        out = out | _has(f, term)
-    return out
+def _counts(hits: str, known: Column) -> Column:
+    return F.transform(known, lambda t: F.size(F.filter(hits, lambda x: x == t)))
 
 
 def scores(docs: DataFrame, task: str) -> DataFrame:
-    """``docs`` with bm25, exact, path and evidence for a task."""
+    """The rows of ``docs`` with bm25, exact, path_score and evidence for a task. What is kept in between is cached, and can be
+    made again."""
     terms = query_terms(task)
-    stats = F.broadcast(_statistics(docs, terms))  # one row
+    keep = [c for c in docs.columns if c not in FIELDS]
+    small = reduced(docs, terms).persist()
+    at = lambda f, k: F.col(f"tf_{f}")[k]
+    held = lambda k: F.greatest(*[at(f, k) for f in FIELDS]) > 0
+    stats = small.agg(F.count("*").alias("n"), *[F.avg(f"len_{f}").alias(f"avg_{f}") for f in FIELDS], *[F.count_if(held(k)).alias(f"df_{k}") for k in range(len(terms))])
     total, exact, path, evidence = F.lit(0.0), F.lit(0.0), F.lit(0.0), []
-    joined = {f: F.array_join(f, " ") for f in ("name", "signature", "literals")}
     for k, t in enumerate(terms):
         part = F.lit(0.0)
         for f, w in FIELD_WEIGHTS.items():
-            tf = F.size(F.filter(f, lambda x: x == t))
-            part = part + bm25(tf, F.size(f), F.col(f"avg_{f}"), F.lit(float(w)))
+            part = part + bm25(at(f, k), F.col(f"len_{f}"), F.col(f"avg_{f}"), F.lit(float(w)))
         total = total + F.when(F.col(f"df_{k}") > 0, idf(F.col("n"), F.col(f"df_{k}")) * part).otherwise(0.0)
-        anywhere = F.contains(joined["name"], F.lit(t)) | F.contains(joined["signature"], F.lit(t)) | F.contains(joined["literals"], F.lit(t))
-        exact = exact + F.when(_has("name", t), 6.0).otherwise(0.0) + F.when(_has("identifiers", t), 2.0).otherwise(0.0) + F.when(_has("literals", t), 2.0).otherwise(0.0) + F.when(anywhere, 0.5).otherwise(0.0)
-        path = path + F.when(_has("path", t), 3.0).otherwise(0.0) + F.when(F.exists("path", lambda p: F.contains(p, F.lit(t))), 0.5).otherwise(0.0)
-        evidence.append(F.when(_any(t), F.lit(t)))
+        for value, worth in ((at("name", k) > 0, 6.0), (at("identifiers", k) > 0, 2.0), (at("literals", k) > 0, 2.0), (F.col("inside")[k], 0.5)):
+            exact = exact + F.when(value, worth).otherwise(0.0)
+        path = path + F.when(at("path", k) > 0, 3.0).otherwise(0.0) + F.when(F.col("in_path")[k], 0.5).otherwise(0.0)
+        evidence.append(F.when(held(k), F.lit(t)))
     found = F.filter(F.array(*evidence).cast("array<string>"), lambda x: x.isNotNull())
-    keep = [c for c in docs.columns if c not in FIELDS]
-    return docs.join(stats).select(*keep, F.round(total, 6).alias("bm25"), exact.alias("exact"), path.alias("path_score"), found.alias("evidence"))
+    return small.join(F.broadcast(stats)).select(*keep, F.round(total, 6).alias("bm25"), exact.alias("exact"), path.alias("path_score"), found.alias("evidence"))  # one row
 
 
 def fuse(scored: DataFrame) -> DataFrame:
