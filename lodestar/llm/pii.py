@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import unused
+from .common import cut, unused
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: The patterns of the four kinds.
@@ -115,7 +115,8 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, disclosure: float = DISC
 def find(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
     """(doc_id, key, base, spans) for every row: arrays of (start, k, end), base of the four kinds, spans of all five."""
     plain = docs.select(F.col("doc_id").alias("d"), F.coalesce("text", F.lit("")).alias("text"))
-    based = base_spans(plain, "text", "spans").withColumn("key", F.xxhash64("text"))
+    based = base_spans(plain, "text", "spans").select("d", F.xxhash64("text").alias("key"), F.when(F.size("spans") > 0, F.col("text")).alias("text"), "spans")
+    based = cut(based)  # the patterns run once; texts are kept only where something was found
     short = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["k"].alias("k"), s["end"].alias("end")))
     more = disclosing_terms(based.where(F.size("spans") > 0), plain, disclosure, support)
     rows = based.select("d", "key", short.alias("base"))
