@@ -14,9 +14,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Few partitions, which a small file gives, are dealt to all threads; a large input has many and stays as it is."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() <= 2 * n else df
+
+
 def fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, file, line and the five token fields of each document."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"))
     t = F.col("identifiers")
     base = d.select(F.col("doc_id").alias("id"), F.concat_ws("/", "source", "lang").alias("file"), F.col("doc_id").cast("int").alias("line"), tokens(F.col("text")).alias("identifiers"), tokens(F.substring("text", 1, 300)).alias("signature"))
     return base.withColumns({"name": F.slice(t, 1, 8), "path": tokens(F.col("file")), "literals": F.filter(t, lambda x: x.rlike("[0-9]"))})
@@ -63,7 +69,7 @@ def usage_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as text-only files, a line for each tag."""
-    return table(spark, sf_dir, "pages").select(F.col("url").alias("file"), F.regexp_replace("html", "<", "\n<").alias("text"))
+    return spread(table(spark, sf_dir, "pages").select("url", "html")).select(F.col("url").alias("file"), F.regexp_replace("html", "<", "\n<").alias("text"))
 
 
 def scored_items(spark: SparkSession, sf_dir: str) -> DataFrame:
