@@ -102,7 +102,7 @@ def discover(task: str, docs: DataFrame, symbols: DataFrame, edges: DataFrame, j
     graph = edges.groupBy("src_id").agg(F.collect_set("dst_id").alias("near"))
     eligible = leads.where(F.col("score") >= options.min_lead_score).join(graph, F.col("id") == F.col("src_id"), "left")
     test = is_test_file(F.col("file"))
-    ordered = eligible.withColumn("class", F.when(test, 2).when("type_level", 1).otherwise(0)).withColumn("graph", F.concat(F.array("id"), F.coalesce("near", F.array().cast("array<string>")))).orderBy("class", F.desc("score"), F.desc("rrf"), "file", "start_line")
+    ordered = eligible.withColumn("class", F.when(test, 2).when(F.col("type_level"), 1).otherwise(0)).withColumn("graph", F.concat(F.array("id"), F.coalesce("near", F.array().cast("array<string>")))).orderBy("class", F.desc("score"), F.desc("rrf"), "file", "start_line")
     rows = [r.asDict() | {"line": r["start_line"]} for r in ordered.collect()]  # symbols of at most max_relevant_files files
     chosen_leads = select.diverse(rows, options.max_leads)
     if not chosen_leads:

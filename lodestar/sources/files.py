@@ -4,13 +4,11 @@ Paths and contents come from Spark's binary file source, so any store that Spark
 the path and length columns; a file is read only if they let it through.
 """
 
-from __future__ import annotations
-
 import re
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.text import DECLARATION_FILE, MARKUP_FILE, SOURCE_FILE
 
@@ -68,7 +66,7 @@ def mask_component(text: str) -> str:
     return "".join([*out, re.sub(r"[^\n]", " ", text[at:])])
 
 
-DECLARATIONS = T.ArrayType(T.StructType.fromDDL("name string, kind string, start_line int, end_line int, signature string, source string"))
+DECLARATIONS = "array<struct<name: string, kind: string, start_line: int, end_line: int, signature: string, source: string>>"
 _HEAD = re.compile(
     r"^[ \t]*(?:export\s+)?(?:default\s+)?(?:declare\s+)?(?:abstract\s+)?(?:async\s+)?"
     r"(?:(?P<kind>function\*?|class|interface|enum|type)\s+(?P<name>[A-Za-z_$][\w$]*)"
@@ -139,8 +137,6 @@ def declarations(text: str) -> list[tuple]:
 def extract(files: DataFrame) -> DataFrame:
     """(file, name, kind, start_line, end_line, signature, source) of every declaration; files(file, text)."""
 
-    import pandas as pd
-
     @F.pandas_udf(DECLARATIONS)
     def found(names: pd.Series, texts: pd.Series) -> pd.Series:
         made = lambda n, t: [dict(zip(("name", "kind", "start_line", "end_line", "signature", "source"), d, strict=True)) for d in declarations(mask_component(t) if n.endswith(".vue") else t)]
