@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, doc_key, unused
+from .common import WORD, cut, doc_key, small, unused
 from .quality import Words
 
 SHINGLE, SIMILAR = 5, 0.8
@@ -133,7 +133,7 @@ def _reader(pick):
 
     def run(batches):
         find, numbers = re.compile(WORD).findall, Words()
-        for b in batches:
+        for b in small(batches):
             out = []
             for text in b.column("text").to_pylist():
                 numbers.start()
@@ -171,7 +171,7 @@ def grouped(docs: DataFrame, similar: float = SIMILAR) -> tuple[DataFrame, DataF
     sets = cut(texts.select("node", "text").mapInArrow(_reader(_packed), "node long, made binary").groupBy("node").agg(F.first("made").alias("bag")))
 
     def verify(batches):
-        for b in batches:
+        for b in small(batches):
             near = [similarity(x, y) >= similar for x, y in zip(b.column("bag").to_pylist(), b.column("other").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("node"), b.column("hub"), pa.array(near, pa.bool_())], ["node", "hub", "near"])
 

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import shared_dir, small
 from .pieces import Recent, narrow
 
 WINDOW, LEAST, MEAN, MOST = 16, 128, 512, 4096
@@ -124,25 +124,23 @@ def _emit(docs: DataFrame, path: str, end: int) -> DataFrame:
 
     def run(batches):
         encoder, sent, row = encoder_of(path), set(), TaskContext.get().partitionId() << 40
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                b = whole.slice(at, 500)
-                out = {k: [] for k in ("kind", "address", "doc_id", "row", "seq", "n", "payload")}
-                for doc_id, ids in zip(b.column("doc_id").to_pylist(), encoder.batch([t or "" for t in b.column("text").to_pylist()]), strict=True):
-                    ids, last, row = np.append(ids, ids.dtype.type(end)), 0, row + 1
-                    for seq, to in enumerate(cuts(ids)):
-                        chunk, last = ids[last:to], to
-                        name = address(chunk)
-                        rows = [("ref", name, doc_id, row, seq, len(chunk), None)]
-                        if name not in sent:
-                            if len(sent) > MEMO:
-                                sent.clear()
-                            sent.add(name)
-                            rows.append(("chunk", name, None, None, None, len(chunk), zlib.compress(chunk.tobytes(), 1)))
-                        for r in rows:
-                            for k, v in zip(out, r, strict=True):
-                                out[k].append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), (pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], list(out))
+        for b in small(batches):
+            out = {k: [] for k in ("kind", "address", "doc_id", "row", "seq", "n", "payload")}
+            for doc_id, ids in zip(b.column("doc_id").to_pylist(), encoder.batch([t or "" for t in b.column("text").to_pylist()]), strict=True):
+                ids, last, row = np.append(ids, ids.dtype.type(end)), 0, row + 1
+                for seq, to in enumerate(cuts(ids)):
+                    chunk, last = ids[last:to], to
+                    name = address(chunk)
+                    rows = [("ref", name, doc_id, row, seq, len(chunk), None)]
+                    if name not in sent:
+                        if len(sent) > MEMO:
+                            sent.clear()
+                        sent.add(name)
+                        rows.append(("chunk", name, None, None, None, len(chunk), zlib.compress(chunk.tobytes(), 1)))
+                    for r in rows:
+                        for k, v in zip(out, r, strict=True):
+                            out[k].append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), (pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], list(out))
 
     return docs.select("doc_id", "text").mapInArrow(run, "kind string, address binary, doc_id long, row long, seq int, n int, payload binary")
 

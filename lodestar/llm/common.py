@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -61,7 +62,7 @@ def add_columns(df: DataFrame, read: list[str], make: Callable[[], Callable[...,
 
     def run(batches):
         step = make()
-        for b in (whole.slice(at, 1000) for whole in batches for at in range(0, whole.num_rows, 1000)):
+        for b in small(batches):
             got = step(*(b.column(c).to_pylist() for c in read))
             arrays = [b.column(c) for c in keep] + [pa.array(v, t) for v, t in zip(got, types, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, names)
@@ -75,6 +76,24 @@ def _arrow(t: T.DataType) -> pa.DataType:
     return to_arrow_type(t)
 
 
+def tidy() -> None:
+    """Gives memory that earlier tasks of a worker process freed back to the machine."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def small(batches: Iterable[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of ``rows`` at most, so Python objects are made for a few at a time."""
+    tidy()
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+    tidy()
+
+
 def doc_key(text: str = "text") -> list:
     """Two 64-bit hashes of a text; null counts as empty."""
     t = F.coalesce(F.col(text), F.lit(""))

@@ -60,7 +60,7 @@ def _luhn(digits: Column) -> Column:
 
 def _valid(kind: str, x: Column) -> Column:
     if kind == "ip":
-        return F.forall(F.split(x["value"], r"\."), lambda p: (F.length(F.ltrim(F.lit("0"), p)) <= 3) & (F.coalesce(F.substring(F.ltrim(F.lit("0"), p), 1, 3).try_cast("int"), F.lit(0)) <= 255))
+        return F.forall(F.split(x["value"], r"\."), lambda p: (F.length(F.ltrim(p, F.lit("0"))) <= 3) & (F.coalesce(F.substring(F.ltrim(p, F.lit("0")), 1, 3).try_cast("int"), F.lit(0)) <= 255))
     if kind == "card":
         return F.length(_digits(x["value"])).between(14, 19) & F.when(F.length(_digits(x["value"])).between(14, 19), _luhn(_digits(x["value"]))).otherwise(False)
     if kind == "phone":

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, add_columns
+from .common import WORD, add_columns, small
 
 BUCKETS = 1 << 16
 #: Mean log ratio below which a document goes.
@@ -27,7 +27,7 @@ THRESHOLD = -0.17
 PRIOR = 2.0
 #: At most so many labelled rows, those with the least hash, say which documents are trusted.
 TRUSTED = 20_000
-MEMO = 400_000
+MEMO = 150_000
 FIELDS = [("n_words", T.LongType()), ("word_chars", T.LongType()), ("n_symbols", T.LongType()), ("n_dup_lines", T.LongType()), ("n_repeat_words", T.LongType()), ("base_failed", T.BooleanType()), ("kept", T.BooleanType()), ("llr", T.DoubleType())]
 
 
@@ -91,7 +91,7 @@ def ngram_counts(docs: DataFrame, trusted: set, buckets: int = BUCKETS) -> DataF
         import pyarrow as pa
 
         find, words, sums = re.compile(WORD).findall, Words(), np.zeros((2, buckets), np.int64)
-        for b in batches:
+        for b in small(batches):
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 words.start()
                 got = words.numbers(find(text or ""))

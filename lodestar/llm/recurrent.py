@@ -29,14 +29,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, cut
+from .common import WORD, cut, small
 
 WORDS, HIDDEN, CLASS = 2046, 16, 43
 WINDOW, LANES = 16, 128
 SHARE, ROUNDS, SHARD_WORDS = 8, 2, 2_000_000
 HOT = 400_000
 RATE = 4e-3
-MEMO = 300_000
+#: An update takes the gradients of so many words at least: the ends of long documents come few side by side.
+LEAST = 1024
+#: The network's share of a word's probability; the rest is the unigram's.
+SHARE_NET = 0.9
+MEMO = 150_000
 END = "\n"
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
@@ -68,7 +72,7 @@ def count_words(docs: DataFrame) -> DataFrame:
                 sums[END_HASH] = ends
             return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(list(sums.values()), pa.int64())], ["h", "c"])
 
-        for b in batches:
+        for b in small(batches):
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 if not held_out(doc_id):
                     seen.update(find(text or ""))
@@ -179,7 +183,7 @@ class Network:
         lanes = lanes_of([len(x) for x in ids], LANES)
         x, y, fresh, _ = layout(ids, lanes, end)
         moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
-        h, step = np.zeros((x.shape[1], HIDDEN), np.float32), 0
+        h, step, words, sums = np.zeros((x.shape[1], HIDDEN), np.float32), 0, 0, {}
         for t in range(0, len(x), WINDOW):
             part = slice(t, t + WINDOW)
             live = int((y[part] >= 0).any(axis=0).sum())  # lanes are in order of length
@@ -187,27 +191,33 @@ class Network:
                 break
             yy = np.where(y[part, :live] < 0, end, y[part, :live])
             h, grad, _ = self.gradients(h[:live], x[part, :live], yy, fresh[part, :live])
-            step += 1
-            scale = 1 / yy.size
+            which, g = grad.pop("inp")
+            if not words:
+                sums = {k: np.zeros_like(v) for k, v in self.p.items()}
+            sums["inp"][which] += g
+            for k, v in grad.items():
+                sums[k] += v
+            words += yy.size
+            if words < LEAST:
+                continue
+            step, scale, words = step + 1, 1 / words, 0
             rate = RATE * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
             for k, v in self.p.items():
                 m, s = moments[k]
-                if k == "inp":
-                    rows, g = grad[k][0], grad[k][1] * scale
-                    m[rows] = 0.9 * m[rows] + 0.1 * g
-                    s[rows] = 0.999 * s[rows] + 0.001 * g * g
-                    v[rows] -= (rate * m[rows] / (np.sqrt(s[rows]) + 1e-8)).astype(np.float32)
-                else:
-                    g = grad[k] * scale
-                    m *= 0.9
-                    m += 0.1 * g
-                    s *= 0.999
-                    s += 0.001 * g * g
-                    v -= (rate * m / (np.sqrt(s) + 1e-8)).astype(np.float32)
+                g = sums[k] * scale
+                m *= 0.9
+                m += 0.1 * g
+                s *= 0.999
+                s += 0.001 * g * g
+                v -= (rate * m / (np.sqrt(s) + 1e-8)).astype(np.float32)
         return sum(map(len, ids))
 
-    def score(self, ids: list[np.ndarray], end: int, lanes: int = 512, window: int = 32) -> np.ndarray:
-        """Natural log probability of each whole document."""
+    def score(self, ids: list[np.ndarray], end: int, lanes: int = 512, window: int = 32, within: np.ndarray | None = None, unigram: np.ndarray | None = None) -> np.ndarray:
+        """Natural log probability of each whole document.
+
+        With ``within`` and ``unigram``, by word of the network: a word's probability is the network's times the first, mixed
+        with the second.
+        """
         x, y, fresh, doc = layout(ids, lanes_of([len(d) for d in ids], lanes), end)
         out, h = np.zeros(len(ids)), np.zeros((x.shape[1], HIDDEN), np.float32)
         ends = (y >= 0).sum(axis=0)
@@ -224,7 +234,10 @@ class Network:
                 who.append(doc[u, :live])
             if not hs:
                 break
-            logp, _ = self.log_p(np.concatenate(hs), np.concatenate(ys))
+            y_all = np.concatenate(ys)
+            logp, _ = self.log_p(np.concatenate(hs), y_all)
+            if unigram is not None:
+                logp = np.log(SHARE_NET * np.exp(logp.astype(np.float64)) * within[y_all] + (1 - SHARE_NET) * unigram[y_all])
             out += np.bincount(np.concatenate(who), logp, len(ids))
         return out
 
@@ -311,6 +324,11 @@ class Model:
         self.other, self.end, self.ends = int(rank[len(top)]), int(rank[len(top) + 1]), ends
         self.others_total = rest + (self.distinct - (ends > 0) - len(top)) + 1  # words the network doesn't name, and one unseen
         self.network = Network(weights[order].astype(np.float64))
+        # by word of the network: of "another word" the part that all such words share, their count and one comes later
+        self.within = np.ones(len(order))
+        self.within[self.other] = 1 / self.others_total
+        self.unigram = (weights[order] + 1) / (self.total + self.distinct + 1)
+        self.unigram[self.other] = 1 / (self.total + self.distinct + 1)
 
     def vocabulary(self) -> Vocabulary:
         return Vocabulary(self.hashes, self.counts, self.ids, self.other)
@@ -367,29 +385,27 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
 def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row."""
     per_token = np.log10(model.total + model.distinct + 1)
-    state = pickle.dumps((model.hashes, model.counts, model.ids, model.other, model.end, model.ends, model.network))
-    others = float(np.log10(model.others_total))
+    state = pickle.dumps((model.hashes, model.counts, model.ids, model.other, model.end, model.ends, model.network, model.within, model.unigram))
 
     def run(batches):
-        hashes, counts_, ids, other, end, ends, network = pickle.loads(state)
+        hashes, counts_, ids, other, end, ends, network, within, unigram = pickle.loads(state)
         find, words, row = re.compile(WORD).findall, Vocabulary(hashes, counts_, ids, other), TaskContext.get().partitionId() << 40
-        for whole in batches:
-            for b in (whole.slice(k, 4000) for k in range(0, whole.num_rows, 4000)):
-                seen, rows = [], {k: [] for k in ("row", "held_out", "n_tokens", "n_known", "base", "more", "rare_h", "rare_n")}
-                for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                    words.start()
-                    n, row = words.numbers(find(text or "")), row + 1
-                    c, net = words.c[n], words.id[n]
-                    logs = np.log10(np.maximum(c, 0) + 1.0)
-                    rare, count = np.unique(words.h[n[c < 0]], return_counts=True)
-                    more = float(logs[(net == other) & (c >= 0)].sum()) - others * int((net == other).sum())
-                    for k, v in zip(rows, (row, held_out(doc_id), len(n) + 1, int((c > 0).sum()) + (ends > 0), float(logs[c >= 0].sum()) + float(np.log10(ends + 1.0)) - (len(n) + 1) * per_token, more, rare.tolist(), count.tolist()), strict=True):
-                        rows[k].append(v)
-                    seen.append(np.append(net, end))
-                log_p = network.score(seen, end) / np.log(10) + np.array(rows["more"]) if seen else np.zeros(0)
-                types = {"row": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64()}
-                lists = [pa.array(rows[k], pa.list_(pa.int64())) for k in ("rare_h", "rare_n")]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(rows[k], t) for k, t in types.items()), pa.array(log_p, pa.float64()), *lists], ["doc_id", *types, "log_p", "rare_h", "rare_n"])
+        for b in small(batches, 2000):
+            seen, rows = [], {k: [] for k in ("row", "held_out", "n_tokens", "n_known", "base", "more", "rare_h", "rare_n")}
+            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+                words.start()
+                n, row = words.numbers(find(text or "")), row + 1
+                c, net = words.c[n], words.id[n]
+                logs = np.log10(np.maximum(c, 0) + 1.0)
+                rare, count = np.unique(words.h[n[c < 0]], return_counts=True)
+                more = float(logs[(net == other) & (c >= 0)].sum())
+                for k, v in zip(rows, (row, held_out(doc_id), len(n) + 1, int((c > 0).sum()) + (ends > 0), float(logs[c >= 0].sum()) + float(np.log10(ends + 1.0)) - (len(n) + 1) * per_token, more, rare.tolist(), count.tolist()), strict=True):
+                    rows[k].append(v)
+                seen.append(np.append(net, end))
+            log_p = network.score(seen, end, within=within, unigram=unigram) / np.log(10) + np.array(rows["more"]) if seen else np.zeros(0)
+            types = {"row": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64()}
+            lists = [pa.array(rows[k], pa.list_(pa.int64())) for k in ("rare_h", "rare_n")]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(rows[k], t) for k, t in types.items()), pa.array(log_p, pa.float64()), *lists], ["doc_id", *types, "log_p", "rare_h", "rare_n"])
 
     main = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, row long, held_out boolean, n_tokens long, n_known long, base double, log_p double, rare_h array<long>, rare_n array<long>")
     main = cut(main)
