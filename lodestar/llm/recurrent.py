@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD, cut, small
 
-WORDS, HIDDEN, CLASS = 2046, 16, 43
+WORDS, HIDDEN, CLASS = 1022, 16, 32
 WINDOW, LANES = 16, 128
 SHARE, ROUNDS, SHARD_WORDS = 8, 2, 2_000_000
 HOT = 400_000
@@ -40,7 +40,7 @@ RATE = 4e-3
 LEAST = 1024
 #: The network's share of a word's probability; the rest is the unigram's.
 SHARE_NET = 0.9
-MEMO = 150_000
+MEMO, COUNTED = 150_000, 500_000
 END = "\n"
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
@@ -77,7 +77,7 @@ def count_words(docs: DataFrame) -> DataFrame:
                 if not held_out(doc_id):
                     seen.update(find(text or ""))
                     ends += 1
-                    if len(seen) > MEMO:
+                    if len(seen) > COUNTED:
                         yield flush()
                         seen, ends = Counter(), 0
         yield flush()
@@ -115,8 +115,10 @@ class Network:
     def log_p(self, hs: np.ndarray, y: np.ndarray, back: dict | None = None):
         """Natural log probability of each word after each state; with ``back``, also the gradients of their negative sum."""
         p, c = self.p, y // CLASS
-        logits = hs @ p["cls"] + p["cls_b"]
-        logits -= logits.max(axis=1, keepdims=True)
+        # exponents stay small: states lie within -1 and 1, and the largest bias is that of a probability
+        logits = hs @ p["cls"]
+        logits += p["cls_b"]
+        np.minimum(logits, 80, out=logits)
         e = np.exp(logits)
         total = e.sum(axis=1)
         rows = np.arange(len(y))
@@ -135,8 +137,9 @@ class Network:
             if not len(at):
                 continue
             hk, w = hs[at], y[at] - k * CLASS
-            logits = hk @ p["out"][k] + p["out_b"][k]
-            logits -= logits.max(axis=1, keepdims=True)
+            logits = hk @ p["out"][k]
+            logits += p["out_b"][k]
+            np.minimum(logits, 80, out=logits)
             e = np.exp(logits)
             total = e.sum(axis=1)
             one = np.arange(len(at))
