@@ -23,23 +23,32 @@ import gc
 import hashlib
 import json
 import os
+import re
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import shared_dir, small
-from .pieces import Recent, narrow
+from .pieces import LETTERS, SPACES, Recent, narrow
 
 WINDOW, LEAST, MEAN, MOST = 16, 128, 512, 4096
 MEMO, PIECES = 250_000, 250_000
 #: Fixed value: how byte-level tokenizers of this format cut a text.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 END = 2
+#: Marks that stand alone behind a word, as a class and plainly; letters plainly; what sends a text to the library whole: other
+#: characters, white space side by side or at an end, and the sign that stands for a text's begin.
+MARKS = r",.;:!?%&$#*()|"
+MARKS_PLAIN, FIRST = ",.;:!?%&$#*()|", "\x02"
+LETTERS_PLAIN = "".join(c for c in map(chr, range(256)) if re.match(f"[{LETTERS}]", c))
+ODD = f"[^\\x{{00}}-\\x{{ff}}]|[{SPACES}\x1c-\x1f][{SPACES}\x1c-\x1f]|^[{SPACES}\x1c-\x1f]|[{SPACES}\x1c-\x1f]$|{FIRST}"
 
 
 class Encoder:
@@ -51,7 +60,7 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.kind = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
+        self.kind, self.code = ("<u2", "H") if self.library.get_vocab_size() <= 1 << 16 else ("<u4", "I")
         with open(path, "rb") as f:
             setup = json.load(f)
         before = setup["pre_tokenizer"] or {}
@@ -59,30 +68,60 @@ class Encoder:
         self.split = narrow(PATTERN).findall if plain else None
         self.kept = Recent(PIECES)
 
-    def pieces(self, text: str) -> list[str]:
-        """Pieces that the library encodes alone as it does in the text; a text with other characters is one piece."""
-        if self.split is None:
-            return [text]
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            return [text]
-        return self.split(text)
-
     def _encode(self, pieces: list[str]) -> list[bytes]:
         out = []
         for at in range(0, len(pieces), 5000):
-            out += [np.array(got.ids, self.kind).tobytes() for got in self.library.encode_batch_fast(pieces[at : at + 5000], add_special_tokens=False)]
+            out += [array(self.code, got.ids).tobytes() for got in self.library.encode_batch_fast(pieces[at : at + 5000], add_special_tokens=False)]
         return out
 
-    def batch(self, texts: list[str]) -> list[np.ndarray]:
-        pieces = [self.pieces(t) if t else [] for t in texts]
-        got, at, out = self.kept.all([p for part in pieces for p in part], self._encode), 0, []
-        for part in pieces:
-            out.append(np.frombuffer(b"".join(got[at : at + len(part)]), self.kind))
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Stretches between single spaces, each with the space before it; FIRST stands for none."""
+        cut = [self.split(w[1:] if w[0] == FIRST else f" {w}") for w in words]
+        got, at, out = self.kept.all([p for part in cut for p in part], self._encode), 0, []
+        for part in cut:
+            out.append(b"".join(got[at : at + len(part)]))
             at += len(part)
         return out
 
+    def _plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Texts of single spaces and the first 256 code points: split and looked up as columns, only what differs in Python.
+
+        Most words are letters and then marks; their ids are those of the letters and those of the marks.
+        """
+        listed = pc.split_pattern(pc.binary_join_element_wise(pa.scalar(FIRST), texts, ""), " ")
+        coded = listed.flatten().dictionary_encode()
+        words, at = coded.dictionary, coded.indices.to_numpy()
+        simple = pc.match_substring_regex(words, f"^[{LETTERS}]+[{MARKS}]*$")
+        easy, hard = words.filter(simple), words.filter(pc.invert(simple))
+        stems = pc.utf8_rtrim(easy, characters=MARKS_PLAIN).dictionary_encode()
+        tails = pc.utf8_ltrim(easy, characters=LETTERS_PLAIN).dictionary_encode()
+        of_stem = pa.array(self.kept.all([f" {x}" for x in stems.dictionary.to_pylist()], self._encode), pa.binary())
+        of_tail = pa.array(self.kept.all(tails.dictionary.to_pylist(), self._encode), pa.binary())
+        of_easy = pc.binary_join_element_wise(of_stem.take(stems.indices), of_tail.take(tails.indices), b"")
+        both = pa.concat_arrays([of_easy, pa.array(self._words(hard.to_pylist()), pa.binary())])
+        where = np.empty(len(words), np.int64)
+        mask = simple.to_numpy(zero_copy_only=False)
+        where[mask], where[~mask] = np.arange(len(easy)), len(easy) + np.arange(len(hard))
+        sizes = pc.binary_length(both).to_numpy()[where[at]]
+        flat = both.take(pa.array(where[at]))
+        data = np.frombuffer(flat.buffers()[2], np.uint8, int(sizes.sum())).view(self.kind) if len(sizes) else np.zeros(0, self.kind)
+        ends = np.concatenate([[0], np.cumsum(sizes)])[listed.offsets.to_numpy()] // np.dtype(self.kind).itemsize
+        return data, ends
+
+    def batch(self, texts: pa.Array) -> list[np.ndarray]:
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False) if self.split else np.ones(len(texts), bool)
+        out: list = [None] * len(texts)
+        calm = np.flatnonzero(~odd)
+        if len(calm):
+            data, ends = self._plain(texts.take(pa.array(calm)))
+            for j, k in enumerate(calm.tolist()):
+                out[k] = data[ends[j] : ends[j + 1]]
+        rest = np.flatnonzero(odd).tolist()
+        for k, got in zip(rest, self._encode(texts.take(pa.array(rest, pa.int64())).to_pylist()), strict=True):
+            out[k] = np.frombuffer(got, self.kind)
+        return out
+
 
 @functools.lru_cache(1)
 def encoder_of(path: str) -> Encoder:
@@ -124,9 +163,9 @@ def _emit(docs: DataFrame, path: str, end: int) -> DataFrame:
 
     def run(batches):
         encoder, sent, row = encoder_of(path), set(), TaskContext.get().partitionId() << 40
-        for b in small(batches):
+        for b in small(batches, 4000):
             out = {k: [] for k in ("kind", "address", "doc_id", "row", "seq", "n", "payload")}
-            for doc_id, ids in zip(b.column("doc_id").to_pylist(), encoder.batch([t or "" for t in b.column("text").to_pylist()]), strict=True):
+            for doc_id, ids in zip(b.column("doc_id").to_pylist(), encoder.batch(b.column("text")), strict=True):
                 ids, last, row = np.append(ids, ids.dtype.type(end)), 0, row + 1
                 for seq, to in enumerate(cuts(ids)):
                     chunk, last = ids[last:to], to
