@@ -152,3 +152,38 @@ def import_closure(roots: DataFrame, imports: DataFrame) -> DataFrame:
         if edge.isEmpty():
             return seen
         seen = seen.unionByName(edge)
+
+
+def argument_sources(leads: DataFrame, edges: DataFrame, k: int = 6) -> DataFrame:
+    """(lead_id, source_id, symbol, rank): functions whose results callers pass into a lead; the first ``k`` in order seen.
+
+    edges of kind ``argument`` go from the producer to the lead, with the parameter as their symbol.
+    """
+    hop = leads.select(F.col("id").alias("lead_id")).join(edges.where("kind = 'argument'"), F.col("lead_id") == F.col("dst_id"))
+    once = hop.groupBy("lead_id", "src_id").agg(F.min(F.struct("seq", "symbol")).alias("first"))
+    return top_in(once, ["lead_id"], ["first", "src_id"], k).select("lead_id", F.col("src_id").alias("source_id"), F.col("first.symbol").alias("symbol"), "rank")
+
+
+def untraced(unresolved: DataFrame, sources: DataFrame) -> DataFrame:
+    """Unresolved references of a lead that no traced parameter explains; unresolved(lead_id, expression)."""
+    known = sources.select(F.col("lead_id").alias("_l"), F.col("symbol").alias("_s"))
+    return unresolved.join(known, (F.col("lead_id") == F.col("_l")) & (F.col("expression") == F.col("_s")), "left_anti")
+
+
+def supporting_context(items: DataFrame, edges: DataFrame, nodes: DataFrame, k: int = 6) -> DataFrame:
+    """(item_id, node_id, hops, rank): constants and types of the same file that an item uses, within two local steps."""
+    at = nodes.select(F.col("id").alias("n"), F.col("file").alias("f"))
+    local = edges.where("kind in ('value', 'type')").join(at.withColumnsRenamed({"n": "src_id", "f": "sf"}), "src_id").join(at.withColumnsRenamed({"n": "dst_id", "f": "df"}), "dst_id").where("sf = df").select("src_id", "dst_id", "seq")
+    one = items.select(F.col("id").alias("item_id")).join(local, F.col("item_id") == F.col("src_id")).select("item_id", F.col("dst_id").alias("node_id"), F.lit(1).alias("hops"), "seq")
+    two = one.select("item_id", F.col("node_id").alias("via")).join(local, F.col("via") == F.col("src_id")).select("item_id", F.col("dst_id").alias("node_id"), F.lit(2).alias("hops"), "seq")
+    once = one.unionByName(two).where("node_id <> item_id").groupBy("item_id", "node_id").agg(F.min(F.struct("hops", "seq")).alias("first"))
+    return top_in(once, ["item_id"], ["first", "node_id"], k).select("item_id", "node_id", F.col("first.hops").alias("hops"), "rank")
+
+
+def resolve_aliases(names: DataFrame, aliases: DataFrame, most: int = 5) -> DataFrame:
+    """(name, target): where a name leads over aliases(alias, target), after ``most`` steps at most."""
+    out = names.select("name", F.col("name").alias("target"))
+    for _ in range(most):
+        step = aliases.select(F.col("alias").alias("_a"), F.col("target").alias("_t"))
+        out = out.join(step, F.col("target") == F.col("_a"), "left").select("name", F.coalesce("_t", "target").alias("target"))
+    return out

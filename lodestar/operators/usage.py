@@ -45,3 +45,23 @@ def percentiles(df: DataFrame, by: list[str], value: str, shares: tuple[float, .
 def savings_line(candidate: int, returned: int) -> str:
     saved = max(candidate - returned, 0)
     return f"{returned} of {candidate} candidate tokens returned ({saved} saved{f', {round(100 * saved / candidate)}%' if candidate else ''})"
+
+
+def judge_batches(batches: DataFrame, by: list[str]) -> DataFrame:
+    """Requests, retries, cache hits, tokens and cost; batches(..., candidates, attempts, cache_hit, input_tokens, cost)."""
+    return batches.groupBy(*by).agg(F.count("*").alias("batches"), F.sum("candidates").alias("candidates"), F.sum("attempts").alias("requests"), F.sum(F.greatest(F.col("attempts") - 1, F.lit(0))).alias("retries"), F.count_if("cache_hit").alias("cache_hits"), F.coalesce(F.sum("input_tokens"), F.lit(0)).alias("input_tokens"), F.round(F.coalesce(F.sum("cost"), F.lit(0.0)), 9).alias("cost"))
+
+
+def savings_summary(results: DataFrame) -> DataFrame:
+    """Adds what a result saved of its candidates, as tokens and share, and how much of the budget it used."""
+    saved = F.greatest(F.col("candidate_tokens") - F.col("returned_tokens"), F.lit(0))
+    return results.withColumns({"saved_tokens": saved, "reduction": F.when(F.col("candidate_tokens") > 0, saved / F.col("candidate_tokens")), "budget_used": F.when(F.col("token_budget") > 0, F.col("returned_tokens") / F.col("token_budget")).otherwise(0.0), "basis": F.when(F.col("candidate_tokens").isNull(), "explicit-entry").otherwise("ranking-pool")})
+
+
+def agent_sessions(steps: DataFrame) -> DataFrame:
+    """(session, arm, tokens, searches, files, correct): steps(session, arm, kind, tokens, file, correct)."""
+    return steps.groupBy("session", "arm").agg(F.sum("tokens").alias("tokens"), F.count_if(F.col("kind") == "search").alias("searches"), F.countDistinct("file").alias("files"), F.bool_or(F.coalesce("correct", F.lit(False))).alias("correct"))
+
+
+def arm_medians(sessions: DataFrame) -> DataFrame:
+    return sessions.groupBy("arm").agg(F.count("*").alias("sessions"), F.median("tokens").alias("tokens"), F.median("searches").alias("searches"), F.avg(F.col("correct").cast("int")).alias("correct"))

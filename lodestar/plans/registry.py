@@ -598,3 +598,33 @@ def file_summaries(spark, sf_dir):
     """J5 and the file nodes of the inventory."""
     d = b.table(spark, sf_dir, "documents")
     return inventory.file_summaries(d.select(F.col("source").alias("file"), F.col("doc_id").alias("start_line"), F.col("lang").alias("name"), F.lit("x").alias("signature")))
+
+
+@query(f"with {EDGES}, {NODES}, l as (select e.src_id, e.dst_id, e.seq from e where kind = 'type'), o as (select src_id item_id, dst_id node_id, 1 hops, seq from l union all select a.src_id, z.dst_id, 2, z.seq from l a join l z on z.src_id = a.dst_id), m as (select item_id, node_id, min(row(hops, seq)) f from o where item_id like 'c:%' and node_id <> item_id group by all) select item_id, node_id, f[1]::int hops, (row_number() over (partition by item_id order by f, node_id))::int as rank from m qualify rank <= 6")
+def supporting_context(spark, sf_dir):
+    """J17 for every customer: its nation and region, all declarations in one file."""
+    items = _ids(b.table(spark, sf_dir, "customer"), "c_custkey", "c")
+    return graph.supporting_context(items, b.edges(spark, sf_dir), b.nodes(spark, sf_dir, one_file=True))
+
+
+@query("with a as (select 's:' || l_suppkey src, 'o:' || l_orderkey lead_id, min(row(l_linenumber::bigint, 'p' || l_partkey)) f from lineitem group by all) select lead_id, src source_id, f[2] symbol, (row_number() over (partition by lead_id order by f, src))::int as rank from a qualify rank <= 6")
+def argument_sources(spark, sf_dir):
+    """J13 for every order: the suppliers that hand it a part."""
+    i = b.table(spark, sf_dir, "lineitem")
+    e = i.select(F.col("l_linenumber").cast("long").alias("seq"), F.concat(F.lit("s:"), "l_suppkey").alias("src_id"), F.concat(F.lit("o:"), "l_orderkey").alias("dst_id"), F.lit("argument").alias("kind"), F.concat(F.lit("p"), "l_partkey").alias("symbol"))
+    return graph.argument_sources(_ids(b.table(spark, sf_dir, "orders"), "o_orderkey", "o"), e)
+
+
+@query("select event_type, count(*) batches, sum(event_id % 16 + 1)::bigint candidates, sum(event_id % 3 + 1)::bigint requests, sum(event_id % 3)::bigint retries, count_if(event_id % 7 = 0) cache_hits, sum((props->>'$.k')::bigint)::bigint input_tokens, round(sum(value) , 9) cost from events group by event_type")
+def judge_batch_totals(spark, sf_dir):
+    """A9."""
+    e = b.table(spark, sf_dir, "events")
+    n = F.col("event_id")
+    return usage.judge_batches(e.select("event_type", (n % 16 + 1).alias("candidates"), (n % 3 + 1).alias("attempts"), (n % 7 == 0).alias("cache_hit"), F.get_json_object("props", "$.k").cast("long").alias("input_tokens"), F.col("value").alias("cost")), ["event_type"])
+
+
+@query("select conv_id session, role arm, sum(length(text))::bigint tokens, count_if(turn % 2 = 0) searches, count(distinct turn % 5) files, bool_or(turn > 3) correct from conversations group by conv_id, role")
+def agent_session_metrics(spark, sf_dir):
+    """A27, Q14."""
+    c = b.table(spark, sf_dir, "conversations")
+    return usage.agent_sessions(c.select(F.col("conv_id").alias("session"), F.col("role").alias("arm"), F.when(F.col("turn") % 2 == 0, "search").otherwise("edit").alias("kind"), F.length("text").cast("long").alias("tokens"), (F.col("turn") % 5).alias("file"), (F.col("turn") > 3).alias("correct")))

@@ -258,3 +258,35 @@ def test_transcripts_and_answers(spark, tmp_path):
 def test_render():
     one = {"file": "f", "start_line": 1, "end_line": 3, "name": "a", "level": "body", "source": "x" * 50, "signature": "sig"}
     assert "x" * 50 in render.render([one], 200) and "(signature)" in render.render([one], 40) and "(location)" in render.render([one | {"signature": "s" * 99}], 40)
+
+
+def test_failures(spark):
+    from lodestar.functions.failures import failure_kind, request_status
+
+    df = spark.createDataFrame([("EACCES", "x"), (None, "request failed (429): slow"), (None, "failed (503)"), (None, "fetch failed"), (None, "odd")], "c string, m string")
+    assert [r[0] for r in df.select(failure_kind(F.col("c"), F.col("m"))).collect()] == ["not-permitted", "rate-limited", "service-trouble", "unreachable", "unexpected"]
+    w = spark.createDataFrame([(["3 candidates were pruned by x"],), (["failed"],), ([],)], "w array<string>")
+    assert [r[0] for r in w.select(request_status(F.col("w"))).collect()] == ["complete", "incomplete", "complete"]
+
+
+def test_projects(spark, tmp_path):
+    from lodestar.sources import projects
+
+    assert projects.unsuitable_root("/") and projects.unsuitable_root(str(tmp_path)) is None
+    assert projects.readable(str(tmp_path)) == ([str(tmp_path)], None)
+    conf = spark.createDataFrame([("web/tsconfig.json", '{"extends": "../tsconfig.base", "include": ["src"], /* c */ }'), ("tsconfig.base.json", '{"exclude": ["**/gen"], // x\n}')], "file string, text string")
+    src = spark.createDataFrame([("web/src/a.ts",), ("web/other/b.ts",), ("api/c.ts",)], "file string")
+    got = projects.project_files(conf, src)
+    assert rows(got.where("dir = 'web'"), "file") == [("web/src/a.ts",)]
+    assert rows(inventory.nearest_config(src, got), "file", "config")[2] == ("web/src/a.ts", "web/tsconfig.json")
+
+
+def test_small_graph_rules(spark):
+    lead = spark.createDataFrame([("l",)], "id string")
+    e = spark.createDataFrame([(1, "p", "l", "argument", "mask"), (2, "q", "l", "argument", "grid")], "seq long, src_id string, dst_id string, kind string, symbol string")
+    got = graph.argument_sources(lead, e)
+    assert rows(got, "source_id", "symbol") == [("p", "mask"), ("q", "grid")]
+    open_ = spark.createDataFrame([("l", "mask"), ("l", "other")], "lead_id string, expression string")
+    assert rows(graph.untraced(open_, got), "expression") == [("other",)]
+    names = spark.createDataFrame([("a",), ("z",)], "name string")
+    assert rows(graph.resolve_aliases(names, spark.createDataFrame([("a", "b"), ("b", "c")], "alias string, target string")), "name", "target") == [("a", "c"), ("z", "z")]
