@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import base64
 import bisect
-import functools
 import gc
 import hashlib
 from collections.abc import Iterable, Iterator
@@ -23,7 +22,7 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import add_columns
+from .common import add_columns, hold
 from .pieces import Recent, splitter
 
 #: Bounds of what a worker keeps: pieces in either of two generations, states of the transducer.
@@ -249,11 +248,10 @@ class Encoder:
         return len(ids), hashlib.sha256(said.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()
 
 
-@functools.lru_cache(1)
 def encoder_of(path: str, pattern: str) -> Encoder:
     """One for each worker process, kept over its tasks."""
     gc.set_threshold(200_000, 50, 1000)  # its tables hold no cycles
-    return Encoder(path, pattern)
+    return hold(("bpe", path, pattern), lambda: Encoder(path, pattern))
 
 
 def encode(docs: DataFrame, path: str, pattern: str, keep: list[str] | None = None, with_ids: bool = False) -> DataFrame:

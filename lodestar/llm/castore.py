@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, small
+from .common import hold, shared_dir, small
 from .pieces import LETTERS, SPACES, Recent, narrow
 
 WINDOW, LEAST, MEAN, MOST = 16, 128, 512, 4096
@@ -123,10 +123,9 @@ class Encoder:
         return out
 
 
-@functools.lru_cache(1)
 def encoder_of(path: str) -> Encoder:
     gc.set_threshold(200_000, 50, 1000)  # its tables hold no cycles
-    return Encoder(path)
+    return hold(("castore", path), lambda: Encoder(path))
 
 
 def cuts(ids: np.ndarray, least: int = LEAST, mean: int = MEAN, most: int = MOST) -> list[int]:
@@ -163,7 +162,7 @@ def _emit(docs: DataFrame, path: str, end: int) -> DataFrame:
 
     def run(batches):
         encoder, sent, row = encoder_of(path), set(), TaskContext.get().partitionId() << 40
-        for b in small(batches, 4000):
+        for b in small(batches, 4000, holding=True):
             out = {k: [] for k in ("kind", "address", "doc_id", "row", "seq", "n", "payload")}
             for doc_id, ids in zip(b.column("doc_id").to_pylist(), encoder.batch(b.column("text")), strict=True):
                 ids, last, row = np.append(ids, ids.dtype.type(end)), 0, row + 1

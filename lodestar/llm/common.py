@@ -62,7 +62,7 @@ def add_columns(df: DataFrame, read: list[str], make: Callable[[], Callable[...,
 
     def run(batches):
         step = make()
-        for b in small(batches):
+        for b in small(batches, holding=True):
             got = step(*(b.column(c).to_pylist() for c in read))
             arrays = [b.column(c) for c in keep] + [pa.array(v, t) for v, t in zip(got, types, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, names)
@@ -85,9 +85,30 @@ def tidy() -> None:
         pass
 
 
-def small(batches: Iterable[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of ``rows`` at most, so Python objects are made for a few at a time."""
+#: What a worker process keeps between tasks: the tables of one operator at most.
+_held: dict = {}
+
+
+def hold(key: tuple, make: Callable[[], object]) -> object:
+    """The object that this worker process made for ``key``; making one lets go of any other."""
+    if key not in _held:
+        _held.clear()
+        tidy()
+        _held[key] = make()
+    return _held[key]
+
+
+def release() -> None:
+    """Lets go of what another operator's tasks left in this worker process."""
+    if _held:
+        _held.clear()
     tidy()
+
+
+def small(batches: Iterable[pa.RecordBatch], rows: int = 500, holding: bool = False) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of ``rows`` at most, so Python objects are made for a few at a time."""
+    if not holding:
+        release()
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, add_columns, small
+from .common import WORD, add_columns, release, small
 
 BUCKETS = 1 << 16
 #: Mean log ratio below which a document goes.
@@ -126,6 +126,7 @@ def score(docs: DataFrame, ratio: np.ndarray, threshold: float = THRESHOLD, keep
     buckets = len(ratio)
 
     def make():
+        release()
         find, symbols, words = re.compile(WORD).findall, re.compile(r"[#*$%&|<>]").findall, Words()
 
         def step(texts):
