@@ -22,6 +22,7 @@ import pickle
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,7 @@ RATE = 4e-3
 LEAST = 1024
 #: The network's share of a word's probability; the rest is the unigram's.
 SHARE_NET = 0.9
-MEMO, COUNTED = 150_000, 500_000
+MEMO, COUNTED, BATCH = 300_000, 500_000, 1000
 END = "\n"
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
@@ -270,33 +271,42 @@ def layout(ids: list[np.ndarray], lanes: list[list[int]], end: int):
     return np.ascontiguousarray(x.T), np.ascontiguousarray(y.T), np.ascontiguousarray(fresh.T), np.ascontiguousarray(doc.T)
 
 
-class Vocabulary(dict):
-    """Word -> number of its own, with the network's id, the count (-1: too rare to be here) and the hash for each."""
+class Vocabulary:
+    """Words -> numbers, with the network's id, the count (-1: too rare to be here) and the hash for each number. Bounded."""
 
     def __init__(self, hashes: np.ndarray, counts: np.ndarray, ids: np.ndarray, other: int):
         self.known, self.counts, self.ids, self.other = hashes, counts, ids, other
-        self.start(force=True)
-
-    def start(self, force: bool = False):
-        if force or len(self) > MEMO:
-            self.clear()
-            self.h, self.c, self.id = np.zeros(4096, np.int64), np.zeros(4096, np.int64), np.zeros(4096, np.int64)
-
-    def __missing__(self, word):
-        n = self[word] = len(self)
-        if n >= len(self.h):
-            self.h, self.c, self.id = (np.concatenate([a, np.zeros_like(a)]) for a in (self.h, self.c, self.id))
-        h = hash_of(word)
-        at = int(np.searchsorted(self.known, h))
-        if at < len(self.known) and self.known[at] == h:
-            self.c[n], self.id[n] = self.counts[at], self.ids[at]
-        else:
-            self.c[n], self.id[n] = -1, self.other
-        self.h[n] = h
-        return n
+        self._forget()
+
+    def _forget(self):
+        self.number: dict[str, int] = {}
+        self.h, self.c, self.id = (np.zeros(0, np.int64) for _ in range(3))
 
     def numbers(self, words: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        """The numbers of many words at once; those that are new are looked up together."""
+        if len(self.number) > MEMO:
+            self._forget()
+        new = list(set(words) - self.number.keys())
+        if new:
+            h, n = np.fromiter(map(hash_of, new), np.int64, len(new)), len(self.number)
+            c, ids = np.full(len(new), -1), np.full(len(new), self.other)
+            if len(self.known):
+                at = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
+                hit = self.known[at] == h
+                c[hit], ids[hit] = self.counts[at[hit]], self.ids[at[hit]]
+            self.number.update(zip(new, range(n, n + len(new)), strict=True))
+            self.h, self.c, self.id = np.concatenate([self.h, h]), np.concatenate([self.c, c]), np.concatenate([self.id, ids])
+        return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+
+    def documents(self, texts: pa.Array, find) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The network's ids, the counts and the hashes of each text's words."""
+        for at in range(0, len(texts), BATCH):
+            words = [find(t or "") for t in texts.slice(at, BATCH).to_pylist()]
+            n, k = self.numbers([w for ws in words for w in ws]), 0
+            ids, c, h = self.id[n], self.c[n], self.h[n]
+            for ws in words:
+                part = slice(k, k := k + len(ws))
+                yield ids[part], c[part], h[part]
 
 
 class Model:
@@ -343,11 +353,8 @@ def _train_round(docs: DataFrame, model: Model, number: int, shards: int) -> Non
 
     def run(key, table):
         hashes, counts, ids, other, end, network = pickle.loads(start)
-        find, words, seen = re.compile(WORD).findall, Vocabulary(hashes, counts, ids, other), []
-        for text in table.column("text").to_pylist():
-            words.start()
-            n = words.numbers(find(text or ""))
-            seen.append(np.append(words.id[n], end))
+        find, words = re.compile(WORD).findall, Vocabulary(hashes, counts, ids, other)
+        seen = [np.append(ids, end) for ids, _, _ in words.documents(table.column("text"), find)]
         weight = network.train(seen, end)
         flat = np.concatenate([network.p[k].ravel() for k in sorted(network.p)]).astype(np.float64) * weight
         cuts = range(0, len(flat), 4096)
@@ -393,16 +400,14 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     def run(batches):
         hashes, counts_, ids, other, end, ends, network, within, unigram = pickle.loads(state)
         find, words, row = re.compile(WORD).findall, Vocabulary(hashes, counts_, ids, other), TaskContext.get().partitionId() << 40
-        for b in small(batches, 2000):
+        for b in small(batches, 4 * BATCH):
             seen, rows = [], {k: [] for k in ("row", "held_out", "n_tokens", "n_known", "base", "more", "rare_h", "rare_n")}
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                words.start()
-                n, row = words.numbers(find(text or "")), row + 1
-                c, net = words.c[n], words.id[n]
+            for doc_id, (net, c, h) in zip(b.column("doc_id").to_pylist(), words.documents(b.column("text"), find), strict=True):
+                row += 1
                 logs = np.log10(np.maximum(c, 0) + 1.0)
-                rare, count = np.unique(words.h[n[c < 0]], return_counts=True)
+                rare, count = np.unique(h[c < 0], return_counts=True)
                 more = float(logs[(net == other) & (c >= 0)].sum())
-                for k, v in zip(rows, (row, held_out(doc_id), len(n) + 1, int((c > 0).sum()) + (ends > 0), float(logs[c >= 0].sum()) + float(np.log10(ends + 1.0)) - (len(n) + 1) * per_token, more, rare.tolist(), count.tolist()), strict=True):
+                for k, v in zip(rows, (row, held_out(doc_id), len(net) + 1, int((c > 0).sum()) + (ends > 0), float(logs[c >= 0].sum()) + float(np.log10(ends + 1.0)) - (len(net) + 1) * per_token, more, rare.tolist(), count.tolist()), strict=True):
                     rows[k].append(v)
                 seen.append(np.append(net, end))
             log_p = network.score(seen, end, within=within, unigram=unigram) / np.log(10) + np.array(rows["more"]) if seen else np.zeros(0)
