@@ -224,10 +224,10 @@ def decode_stream(ids: Iterable[int], token: dict[int, bytes] | list[bytes], eve
 class Encoder:
     """Whole texts, piece by piece; what pieces that were met became is kept, up to a bound."""
 
-    def __init__(self, path: str, pattern: str):
-        self.machine, self.split = Transducer(load_ranks(path)), splitter(pattern)
+    def __init__(self, path: str, pattern: str, pieces: int = PIECES, states: int = STATES):
+        self.machine, self.split = Transducer(load_ranks(path), states), splitter(pattern)
         self.spelled = {str(i): t for i, t in self.machine.token.items()}.__getitem__
-        self.kept = Recent(PIECES)
+        self.kept = Recent(pieces)
 
     def _said(self, pieces: list[str]) -> list[str]:
         encode = self.machine.encode
@@ -248,18 +248,21 @@ class Encoder:
         return len(ids), hashlib.sha256(said.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()
 
 
-def encoder_of(path: str, pattern: str) -> Encoder:
+def encoder_of(path: str, pattern: str, pieces: int, states: int) -> Encoder:
     """One for each worker process, kept over its tasks."""
     gc.set_threshold(200_000, 50, 1000)  # its tables hold no cycles
-    return hold(("bpe", path, pattern), lambda: Encoder(path, pattern))
+    return hold(("bpe", path, pattern, pieces, states), lambda: Encoder(path, pattern, pieces, states))
 
 
-def encode(docs: DataFrame, path: str, pattern: str, keep: list[str] | None = None, with_ids: bool = False) -> DataFrame:
-    """Adds n_tokens, ids_sha256 and decoded_sha256 (and, if asked, ids) to every row."""
+def encode(docs: DataFrame, path: str, pattern: str, keep: list[str] | None = None, with_ids: bool = False, pieces: int = PIECES, states: int = STATES) -> DataFrame:
+    """Adds n_tokens, ids_sha256 and decoded_sha256 (and, if asked, ids) to every row.
+
+    ``pieces`` and ``states`` bound what a worker keeps (a few hundred bytes each); fewer cost time, not results.
+    """
     fields = FIELDS + [("ids", T.ArrayType(T.IntegerType()))] * with_ids
 
     def make():
-        encoder = encoder_of(path, pattern)
+        encoder = encoder_of(path, pattern, pieces, states)
 
         def step(texts):
             rows = [encoder.digests(t or "") for t in texts]

@@ -15,7 +15,18 @@ from pyspark.sql import types as T
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Bytes of a batch on its way to Python, where the session has not set its own: long texts make rows uneven.
+BATCH_BYTES = "8m"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) in ("67108864b", "67108864"):
+        spark.conf.set(name, BATCH_BYTES)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -53,6 +64,7 @@ def add_columns(df: DataFrame, read: list[str], make: Callable[[], Callable[...,
 
     Rows keep their place; columns that clash with a new name are replaced.
     """
+    bound_batches(df.sparkSession)
     new = {n.lower() for n, _ in fields}
     keep = [c for c in (df.columns if keep is None else keep) if c.lower() not in new]
     only = [c for c in read if c not in keep]
