@@ -3,8 +3,8 @@
 Counts of all training words give the vocabulary and a unigram model. The network predicts the most frequent words, the end and
 "another word"; which other word it is comes from the counts, so every text has a probability. It starts at the unigram
 frequencies. Training is truncated backpropagation through windows of ``WINDOW`` words with the state carried over; each shard of
-about ``SHARD_WORDS`` words trains from the same parameters and the shards' results are averaged, weighted, over ``ROUNDS`` rounds
-on ``1 / SHARE`` of the training documents each: the work follows the corpus. Scoring carries the state through a document to its
+about ``SHARD_WORDS`` words trains from the same parameters and the shards' results are averaged, weighted, over ``ROUNDS`` rounds.
+Each training document is in exactly one round, so the network learns from all of them once. Scoring carries the state through a document to its
 end, however long, many documents side by side.
 
 What reaches every worker is bounded: the network, and the counts of at most ``HOT`` words; counts of rarer words are joined.
@@ -34,7 +34,7 @@ from .common import WORD, cut, small
 
 WORDS, HIDDEN, CLASS = 1022, 16, 32
 WINDOW, LANES = 16, 128
-SHARE, ROUNDS, SHARD_WORDS = 8, 2, 2_000_000
+ROUNDS, SHARD_WORDS = 4, 2_000_000
 HOT = 400_000
 RATE = 4e-3
 #: An update takes the gradients of so many words at least: the ends of long documents come few side by side.
@@ -347,8 +347,8 @@ class Model:
         return Vocabulary(self.hashes, self.counts, self.ids, self.other)
 
 
-def _train_round(docs: DataFrame, model: Model, number: int, shards: int) -> None:
-    """Each shard trains from the model's parameters; their weighted mean becomes the model's."""
+def _train_round(docs: DataFrame, model: Model, number: int, shards: int) -> int:
+    """Each shard trains from the model's parameters; their weighted mean becomes the model's. Returns the words learnt from."""
     start = pickle.dumps((model.hashes, model.counts, model.ids, model.other, model.end, model.network))
 
     def run(key, table):
@@ -365,7 +365,7 @@ def _train_round(docs: DataFrame, model: Model, number: int, shards: int) -> Non
         return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "shard": pa.array([key[1].as_py()], pa.int32()), "weight": pa.array([float(np.sum(table.column("weight").to_numpy()))]), "sums": pa.array([sums.astype(np.float32).tolist()], pa.list_(pa.float32()))})
 
     schema = "part int, shard int, weight double, sums array<float>"
-    chosen = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SHARE)) == number).where(F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2, F.lit(True)))
+    chosen = docs.where(F.pmod(F.xxhash64(F.lit("round"), "doc_id", "text"), F.lit(ROUNDS)) == number).where(F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2, F.lit(True)))
     dealt = chosen.select(F.pmod(F.xxhash64(F.lit("deal"), "doc_id", "text"), F.lit(shards)).cast("int").alias("shard"), "text")
     each = dealt.groupBy("shard").applyInArrow(lambda key, t: run(key, t), schema)
     while shards > 64:  # a tree: 64 shards' parameters meet in a task at most
@@ -373,12 +373,13 @@ def _train_round(docs: DataFrame, model: Model, number: int, shards: int) -> Non
         each = each.withColumn("shard", F.floor(F.col("shard") / 64).cast("int")).groupBy("part", "shard").applyInArrow(lambda key, t: add(key, t), schema)
     rows = each.withColumn("shard", F.lit(0)).groupBy("part", "shard").applyInArrow(lambda key, t: add(key, t), schema).collect()  # the network, in parts
     if not rows:
-        return
+        return 0
     flat, at = np.concatenate([np.array(r["sums"], np.float64) / r["weight"] for r in sorted(rows, key=lambda r: r["part"])]), 0
     for k in sorted(model.network.p):
         v = model.network.p[k]
         model.network.p[k] = flat[at : at + v.size].reshape(v.shape).astype(np.float32)
         at += v.size
+    return round(rows[0]["weight"])
 
 
 def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
@@ -386,7 +387,7 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
     plain = docs.select("doc_id", "text")
     counts = cut(count_words(plain))
     model = Model(counts)
-    shards = int(max(1, round(model.total / SHARE / SHARD_WORDS)))
+    shards = int(max(1, round(model.total / ROUNDS / SHARD_WORDS)))
     for number in range(ROUNDS):
         _train_round(plain, model, number, shards)
     return model, counts

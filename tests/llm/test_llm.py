@@ -475,6 +475,12 @@ def test_recurrent_query(spark):
     assert per("score") > per("base_score")
 
 
+def test_recurrent_learns_from_every_training_document(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text").union(spark.createDataFrame([(None, f"no id {k}") for k in range(40)], "doc_id long, text string"))
+    model = recurrent.Model(recurrent.count_words(docs).cache())
+    assert sum(recurrent._train_round(docs, model, k, 2) for k in range(recurrent.ROUNDS)) == model.total
+
+
 def test_recurrent_odd(odd, none):
     got = recurrent.score(odd, *recurrent.fit(odd)).collect()
     assert len(got) == odd.count() and all(math.isfinite(r["score"]) and r["score"] < 0 for r in got)
