@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD, cut, small
 
-WORDS, HIDDEN, CLASS = 1022, 16, 32
+WORDS, HIDDEN, CLASS = 2046, 16, 64
 WINDOW, LANES = 16, 128
 ROUNDS, SHARD_WORDS = 4, 2_000_000
 HOT = 400_000

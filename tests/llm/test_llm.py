@@ -481,6 +481,13 @@ def test_recurrent_learns_from_every_training_document(spark):
     assert sum(recurrent._train_round(docs, model, k, 2) for k in range(recurrent.ROUNDS)) == model.total
 
 
+def test_recurrent_names_2046_words(spark):
+    words = [f"w{k}" for k in range(2100) for _ in range(1 + (k < 2046))]
+    model = recurrent.Model(recurrent.count_words(spark.createDataFrame([(None, " ".join(words))], "doc_id long, text string")).cache())
+    named = {int(model.ids[np.searchsorted(model.hashes, recurrent.hash_of(f"w{k}"))]) for k in range(2046)}
+    assert len(named) == 2046 and model.other not in named
+
+
 def test_recurrent_odd(odd, none):
     got = recurrent.score(odd, *recurrent.fit(odd)).collect()
     assert len(got) == odd.count() and all(math.isfinite(r["score"]) and r["score"] < 0 for r in got)
