@@ -1,8 +1,8 @@
 """Personal data, and the terms that give it away; DataFrame operations only.
 
 Four kinds of protected entity are found by pattern and check sum. Then, over the corpus, it is estimated how strongly a term
-reveals an entity near which it stands: with c contexts that hold both, n_e that hold the entity, n_t documents that hold the
-term and N documents in all, the term's information on the entity is PMI = log2(c N / (n_e n_t)), and the entity's own is
+reveals an entity near which it stands: with c contexts that hold both, n_e that hold the entity, n_t different texts that hold the
+term and N different texts in all, the term's information on the entity is PMI = log2(c N / (n_e n_t)), and the entity's own is
 IC = -log2(n_e / N). A term of which PMI reaches ``disclosure`` times IC discloses the entity and is removed with it, in each
 place near it. A context is the ``NEAR`` words to either side; equal contexts count once, so a copied document is no evidence,
 and a term needs ``support`` different contexts.
@@ -104,8 +104,9 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, disclosure: float = DISC
     if pairs.isEmpty():
         return None
     entities = around.groupBy("entity", "context").agg(F.lit(1).alias("one")).groupBy("entity").agg(F.count("*").alias("n_e"))
-    terms = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    total = docs.count()
+    texts = docs.groupBy(F.xxhash64("text").alias("key")).agg(F.first("text").alias("text"))  # copies count once, as contexts do
+    terms = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    total = docs.select(F.xxhash64("text")).distinct().count()
     known = pairs.join(entities, "entity").join(terms, "term")
     pmi, ic = F.log2(F.col("c") * total / (F.col("n_e") * F.col("n_t"))), -F.log2(F.col("n_e") / total)
     told = known.where((ic > 0) & (pmi >= disclosure * ic)).select("entity", "term")

@@ -314,6 +314,14 @@ def test_pii_terms_that_disclose(spark):
     assert "term" not in dicts(pii.report(copies), "doc_id")[0]["spans"]  # a text that is only copied is no evidence
 
 
+def test_pii_copies_hide_no_term(spark):
+    texts = [f"number{chr(97 + k)} Quillfeather wrote from zoe@mail.example.org about item{chr(97 + k)}" for k in range(8)]
+    data = [(k, texts[k % 8]) for k in range(400)] + [(1000 + k, f"somebody wrote about {chr(97 + k // 26) * 3}{chr(97 + k % 26) * 3}") for k in range(600)]
+    spans = {r["doc_id"]: r["spans"] for r in pii.report(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    at = texts[0].index("Quillfeather")
+    assert all(f"term:{at}:{at + 12}" in spans[k] for k in range(400))
+
+
 def test_pii_odd(odd, none):
     assert pii.report(odd).count() == odd.count() and pii.report(none).count() == 0
     assert pii.sanitize(odd).columns == odd.columns and pii.sanitize(odd).count() == odd.count()
