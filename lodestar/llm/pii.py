@@ -1,11 +1,12 @@
 """Personal data, and the terms that give it away; DataFrame operations only.
 
 Four kinds of protected entity are found by pattern and check sum. Then, over the corpus, it is estimated how strongly a term
-reveals an entity near which it stands: with c contexts that hold both, n_e that hold the entity, n_t different texts that hold the
-term and N different texts in all, the term's information on the entity is PMI = log2(c N / (n_e n_t)), and the entity's own is
-IC = -log2(n_e / N). A term of which PMI reaches ``disclosure`` times IC discloses the entity and is removed with it, in each
-place near it. A context is the ``NEAR`` words to either side; equal contexts count once, so a copied document is no evidence,
-and a term needs ``support`` different contexts.
+reveals an entity of its document. An entity is a value, and also each kind as a whole, so that values that occur once or twice
+pool their evidence. Over N different texts (copies count once), of which n_e hold the entity, n_t the term and c both, the
+term's information on the entity in a text is PMI = log2(p / (n_e / N)) with p = (c - 1 + SMOOTH n_e / N) / (n_t - 1 + SMOOTH): the
+share of the other texts with the term that hold the entity, smoothed towards the entity's share of all. The entity's own
+information is IC = -log2(n_e / N). A term of which PMI reaches ``disclosure`` times IC discloses the entity and is removed with it,
+wherever it stands in a document with the entity. A text is no evidence on itself, so a term of one text alone never discloses.
 
 The patterns are the plain ones with possessive repeats and with starts tied to the begin of a run or the end of the last match:
 the matches are the same, and the time is linear in the text, however long a run of digits or letters is.
@@ -30,8 +31,7 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 TERM = r"\p{L}{3,}+"
-NEAR, REACH = 6, 240
-DISCLOSURE, SUPPORT = 0.9, 3
+DISCLOSURE, SMOOTH = 0.9, 1.0
 
 
 def spans_of(text: Column, pattern: str) -> Column:
@@ -82,49 +82,75 @@ def base_spans(docs: DataFrame, text: str, to: str) -> DataFrame:
     return found.withColumn(to, F.array_sort(F.concat(*[good(n, k) for n, k in enumerate(PATTERNS)]))).drop(*raw.values())
 
 
-def _near(text: Column, span: Column) -> Column:
-    """The words around a span: array of (start, end, value), positions in the text."""
-    begin = F.greatest(span["start"] - REACH, F.lit(0))
-    left = spans_of(F.substring(text, begin + 1, span["start"] - begin), TERM)
-    right = spans_of(F.substring(text, span["end"] + 1, F.lit(REACH)), TERM)
-    moved = lambda words, by: F.transform(words, lambda w: F.struct((w["start"] + by).alias("start"), (w["end"] + by).alias("end"), F.lower(w["value"]).alias("value")))
-    return F.concat(F.slice(moved(left, begin), -F.least(F.lit(NEAR), F.greatest(F.size(left), F.lit(1))), NEAR), F.slice(moved(right, span["end"]), 1, NEAR))
+def _masked(text: Column, spans: Column) -> Column:
+    """The text with spaces in the place of its spans, as long as before."""
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        to = F.greatest(s["at"], x["end"])
+        kept = F.substring(text, s["at"] + 1, F.greatest(x["start"] - s["at"], F.lit(0)))
+        blank = F.repeat(F.lit(" "), to - F.greatest(s["at"], x["start"]))
+        return F.struct(to.alias("at"), F.concat(s["out"], F.array(F.concat(kept, blank))).alias("out"))
+
+    done = F.aggregate(spans, zero, step)
+    return F.concat(F.array_join(done["out"], ""), F.substring(text, done["at"] + 1, F.length(text)))
+
+
+def _terms(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
+
+
+def _places(text: Column, terms: Column) -> Column:
+    """Where one of the terms stands: array of (start, end)."""
+    words, gaps = F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.split(text, TERM, -1)
+    both = F.zip_with(words, F.slice(gaps, 1, F.size(words)), lambda w, g: F.struct(F.length(g).alias("g"), F.length(w).alias("n"), F.array_contains(terms, F.lower(w)).alias("told")))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("got"))
+
+    def step(s: Column, x: Column) -> Column:
+        start = s["at"] + x["g"]
+        end = start + x["n"]
+        return F.struct(end.alias("at"), F.when(x["told"], F.concat(s["got"], F.array(F.struct(start.alias("start"), end.alias("end"))))).otherwise(s["got"]).alias("got"))
+
+    return F.aggregate(both, zero, step)["got"]
 
 
-def disclosing_terms(found: DataFrame, docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame | None:
-    """(d, key, start, end) of terms that disclose an entity they stand near; None if no term has the support.
+def disclosing_terms(found: DataFrame, docs: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame | None:
+    """(key, places) for each different text with terms that disclose an entity in it; None if no term does.
 
-    ``found`` has d, key, text and spans of every document with a span; ``docs`` has the text of all.
+    ``found`` has key, text and spans of every document with a span; ``docs`` has key and text of all.
     """
-    each = found.select("d", "key", "text", F.explode("spans").alias("s"))
-    around = each.select("d", "key", F.xxhash64("s.k", F.lower("s.value")).alias("entity"), _near(F.col("text"), F.col("s")).alias("near"))
-    around = around.where(F.size("near") > 0).withColumn("context", F.xxhash64(F.transform("near", lambda w: w["value"])))
-    words = around.select("d", "key", "entity", "context", F.explode("near").alias("w"))
-    pairs = words.groupBy("entity", F.col("w.value").alias("term"), "context").agg(F.lit(1).alias("one")).groupBy("entity", "term").agg(F.count("*").alias("c")).where(F.col("c") >= support)
-    if pairs.isEmpty():
+    entities = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.array(F.xxhash64(s["k"], F.lower(s["value"])), F.xxhash64(F.lit("kind"), s["k"])))))
+    once = cut(found.select("key", _masked(F.col("text"), F.col("spans")).alias("text"), entities.alias("entities")).dropDuplicates(["key"]))
+    each = once.select("key", F.explode("entities").alias("entity"), "text")
+    counted = each.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") > 1)  # in one text alone it has no evidence
+    pairs = each.select("key", "entity", F.explode(_terms(F.col("text"))).alias("term"))
+    both = pairs.groupBy("entity", "term").agg(F.count("*").alias("c")).where(F.col("c") > 1)
+    texts = docs.groupBy("key").agg(F.first("text").alias("text"))  # copies count once
+    terms = texts.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    total = docs.select("key").distinct().count()
+    share = F.col("n_e") / total
+    others = F.greatest("n_t", "c") - 1
+    pmi, ic = F.log2((F.col("c") - 1 + SMOOTH * share) / (others + SMOOTH) / share), -F.log2(share)
+    told = both.join(counted, "entity").join(terms, "term").where((ic > 0) & (pmi >= disclosure * ic)).select("entity", "term")
+    told = cut(told)
+    if told.isEmpty():
         return None
-    entities = around.groupBy("entity", "context").agg(F.lit(1).alias("one")).groupBy("entity").agg(F.count("*").alias("n_e"))
-    texts = docs.groupBy(F.xxhash64("text").alias("key")).agg(F.first("text").alias("text"))  # copies count once, as contexts do
-    terms = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    total = docs.select(F.xxhash64("text")).distinct().count()
-    known = pairs.join(entities, "entity").join(terms, "term")
-    pmi, ic = F.log2(F.col("c") * total / (F.col("n_e") * F.col("n_t"))), -F.log2(F.col("n_e") / total)
-    told = known.where((ic > 0) & (pmi >= disclosure * ic)).select("entity", "term")
-    return words.join(told.withColumnRenamed("term", "t").withColumnRenamed("entity", "e"), (F.col("entity") == F.col("e")) & (F.col("w.value") == F.col("t"))).select("d", "key", F.col("w.start").alias("start"), F.col("w.end").alias("end")).distinct()
+    hits = pairs.join(told, ["entity", "term"]).groupBy("key").agg(F.collect_set("term").alias("terms"))
+    return once.join(hits, "key").select("key", _places(F.col("text"), F.col("terms")).alias("places"))
 
 
-def find(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
+def find(docs: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
     """(doc_id, key, base, spans) for every row: arrays of (start, k, end), base of the four kinds, spans of all five."""
     plain = docs.select(F.col("doc_id").alias("d"), F.coalesce("text", F.lit("")).alias("text"))
     based = base_spans(plain, "text", "spans").select("d", F.xxhash64("text").alias("key"), F.when(F.size("spans") > 0, F.col("text")).alias("text"), "spans")
     based = cut(based)  # the patterns run once; texts are kept only where something was found
     short = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["k"].alias("k"), s["end"].alias("end")))
-    more = disclosing_terms(based.where(F.size("spans") > 0), plain, disclosure, support)
+    more = disclosing_terms(based.where(F.size("spans") > 0), plain.select(F.xxhash64("text").alias("key"), "text"), disclosure)
     rows = based.select("d", "key", short.alias("base"))
     if more is None:
         return rows.select(F.col("d").alias("doc_id"), "key", "base", F.col("base").alias("spans"))
-    added = more.groupBy("d", "key").agg(F.collect_list(F.struct("start", F.lit(KINDS.index("term")).alias("k"), "end")).alias("more")).withColumnsRenamed({"d": "d2", "key": "key2"})
-    joined = rows.join(added, F.col("d").eqNullSafe(F.col("d2")) & (F.col("key") == F.col("key2")), "left")
+    added = more.select(F.col("key").alias("key2"), F.transform("places", lambda x: F.struct(x["start"].alias("start"), F.lit(KINDS.index("term")).alias("k"), x["end"].alias("end"))).alias("more"))
+    joined = rows.join(added, F.col("key") == F.col("key2"), "left")
     return joined.select(F.col("d").alias("doc_id"), "key", "base", F.when(F.col("more").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "more"))).alias("spans"))
 
 

@@ -322,6 +322,16 @@ def test_pii_copies_hide_no_term(spark):
     assert all(f"term:{at}:{at + 12}" in spans[k] for k in range(400))
 
 
+def test_pii_rare_entities_and_far_terms(spark):
+    filler = " ".join(f"filler{chr(97 + k)}" for k in range(26))
+    texts = [f"Quillfeather wrote {chr(97 + k) * 4} {filler} mail to user{k}@mail{k}.example" for k in range(6)]
+    data = list(enumerate(texts)) + [(100 + k, f"somebody wrote {filler} mail {chr(97 + k // 26) * 3}{chr(97 + k % 26) * 3}") for k in range(200)]
+    spans = {r["doc_id"]: r["spans"] for r in pii.report(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    for k, text in enumerate(texts):  # each address occurs once, 27 words away from the name
+        assert [x for x in spans[k].split(",") if x.startswith("term")] == ["term:0:12"], spans[k]
+    assert not any(spans[100 + k] for k in range(200))
+
+
 def test_pii_odd(odd, none):
     assert pii.report(odd).count() == odd.count() and pii.report(none).count() == 0
     assert pii.sanitize(odd).columns == odd.columns and pii.sanitize(odd).count() == odd.count()
