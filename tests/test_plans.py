@@ -1,6 +1,7 @@
 """Whole queries: discovery, retrieval, entries, streams, and every registered query against SQL."""
 
 import json
+from collections import Counter
 
 import duckdb
 import pandas as pd
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from lodestar.plans import discovery, judge, registry, retrieval
+from lodestar.plans import bindings, discovery, judge, registry, retrieval
 from lodestar.streaming import usage as stream
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -102,3 +103,11 @@ def test_streams(spark, tmp_path):
 def test_judge_batches(spark):
     c = spark.range(40).select(F.lit("s").alias("stage"), "id")
     assert {r["batch"]: r["count"] for r in judge.batches(c).groupBy("batch").count().collect()} == {0: 16, 1: 16, 2: 8}
+
+
+def test_term_freq_fields_is_whole(spark):
+    fields = ("name", "path", "signature", "identifiers", "literals")
+    rows = bindings.fields(spark, SF).collect()
+    want = Counter((r["id"], f, t) for r in rows for f in fields for t in r[f])
+    assert {(r["id"], r["field"], r["term"]): r["tf"] for r in registry.QUERIES["term_freq_fields"](spark, SF).collect()} == want
+    assert {f for _, f, _ in want} == set(fields) and min(want.values()) == 1
