@@ -3,12 +3,14 @@
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -496,14 +498,59 @@ def test_recurrent_query(spark):
 def test_recurrent_learns_from_every_training_document(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text").union(spark.createDataFrame([(None, f"no id {k}") for k in range(40)], "doc_id long, text string"))
     model = recurrent.Model(recurrent.count_words(docs).cache())
-    assert sum(recurrent._train_round(docs, model, k, 2) for k in range(recurrent.ROUNDS)) == model.total
+    encoded = recurrent.encode(docs, model).cache()
+    assert sum(recurrent._train_round(encoded, model, k, 2) for k in range(recurrent.ROUNDS)) == model.total
 
 
-def test_recurrent_names_2046_words(spark):
-    words = [f"w{k}" for k in range(2100) for _ in range(1 + (k < 2046))]
+def test_recurrent_names_frequent_words(spark):
+    words = [f"w{k}" for k in range(recurrent.WORDS + 60) for _ in range(1 + (k < recurrent.WORDS))]
     model = recurrent.Model(recurrent.count_words(spark.createDataFrame([(None, " ".join(words))], "doc_id long, text string")).cache())
-    named = {int(model.ids[np.searchsorted(model.hashes, recurrent.hash_of(f"w{k}"))]) for k in range(2046)}
-    assert len(named) == 2046 and model.other not in named
+    named = {int(model.ids[np.searchsorted(model.hashes, recurrent.hash_of(f"w{k}"))]) for k in range(recurrent.WORDS)}
+    assert len(named) == recurrent.WORDS and model.other not in named
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text("aZé \t\n\x0b\x0c\r\x1c\x85\u2003\x00x", max_size=12), max_size=5))
+def test_recurrent_words(texts):
+    n, which, h = recurrent.words_in(pa.array(texts, pa.string()))
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    plain = [WORD.findall(t.translate(low)) for t in texts]
+    assert n.tolist() == [len(p) for p in plain] and h[which].tolist() == [recurrent.hash_of(w) for p in plain for w in p]
+    assert len(set(h.tolist())) == len({w for p in plain for w in p})
+
+
+def test_recurrent_score_follows_the_network(spark):
+    """Of each text, word by word in a loop: the network's mix with the unigram, and for other words their counts."""
+    docs = table(spark, SF, "documents").select("doc_id", "text")
+    model, counts, encoded = recurrent.fit(docs)
+    c, net = {r["h"]: r["c"] for r in counts.collect()}, model.network
+    named = dict(zip(model.hashes.tolist(), model.ids.tolist(), strict=True))
+    got = dicts(recurrent.score(docs, model, counts, encoded), "doc_id")
+    for r in docs.where("length(text) < 900").limit(25).collect():
+        h, last, total = np.zeros((1, recurrent.HIDDEN), np.float32), model.end, 0.0
+        for w in [*WORD.findall(r["text"] or ""), None]:
+            k = model.end if w is None else named.get(recurrent.hash_of(w), model.other)
+            h, _ = net.step(h, net.p["inp"][[last]])
+            p = recurrent.SHARE_NET * math.exp(net.log_p(h, np.array([k]))[0][0]) * model.within[k] + (1 - recurrent.SHARE_NET) * model.unigram[k]
+            total += math.log10(p * (c.get(recurrent.hash_of(w), 0) + 1 if k == model.other else 1))
+            last = k
+        assert got[r["doc_id"]]["score"] == pytest.approx(total, rel=1e-4)
+
+
+def test_recurrent_reruns_agree(spark):
+    docs = table(spark, SF, "documents").select("doc_id", "text")
+    one, two = (dicts(recurrent.score(d, *recurrent.fit(d)), "doc_id") for d in (docs, docs.repartition(7, "text")))
+    assert one.keys() == two.keys() and all(one[k]["score"] == pytest.approx(two[k]["score"], rel=1e-6) for k in one)
+
+
+def test_recurrent_long_text_beside_short_ones():
+    net, rng = recurrent.Network(np.arange(50, 0, -1).astype(float)), np.random.default_rng(1)
+    docs = [rng.integers(1, 50, 100_000).astype(np.uint16), *(rng.integers(1, 50, 5).astype(np.uint16) for _ in range(600))]
+    tracemalloc.start()
+    got = net.score(docs, 0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.isfinite(got).all() and peak < 40e6  # bytes; lanes padded to the longest would take 1.3e9
 
 
 def test_recurrent_odd(odd, none):
