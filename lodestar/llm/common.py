@@ -7,7 +7,7 @@ import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -131,3 +131,29 @@ def doc_key(text: str = "text") -> list:
     """Two 64-bit hashes of a text; null counts as empty."""
     t = F.coalesce(F.col(text), F.lit(""))
     return [F.xxhash64(t), F.xxhash64(F.lit("#"), t)]
+
+
+#: In how many parts rows of one key are counted and joined, so no key's rows meet in one task.
+SALTS = 32
+
+
+def told(rows: DataFrame, key: list[str], by: list[str], least: Column | None = None, how: str = "inner") -> DataFrame:
+    """Rows whose ``key`` others have too, with ``n``, how many have it, and ``first``, the least ``least`` of them.
+
+    A key's rows are dealt to SALTS parts by ``by``; parts are counted, the counts summed, and the sums sent back to the parts,
+    so a key that a third of all rows hold is spread over as many tasks. ``rows`` are read twice: ``cut`` what is dear to compute.
+    ``how``: an inner join, or a left one to keep all rows.
+    """
+    salt = unused(rows.columns, "salt")
+    dealt = rows.withColumn(salt, F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int"))
+    also = [F.min(least).alias("first")] if least is not None else []
+    parts = dealt.groupBy(*key, salt).agg(F.count("*").alias("n"), *also)
+    again = [F.min("first").alias("first")] if least is not None else []
+    sums = parts.groupBy(*key).agg(F.sum("n").alias("n"), *again, F.collect_list(salt).alias("salts")).where("n > 1")
+    back = sums.select(*key, F.explode("salts").alias(salt), "n", *["first"] * (least is not None))
+    return dealt.join(back, [*key, salt], how).drop(salt)
+
+
+def row_order(df: DataFrame) -> list[Column]:
+    """An order of rows by all that they hold, so that which of several rows is the first does not depend on where they lie."""
+    return [F.xxhash64(*[F.map_entries(f"`{f.name}`") if isinstance(f.dataType, T.MapType) else F.col(f"`{f.name}`") for f in df.schema.fields])]
