@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -51,6 +53,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextlib.contextmanager
+def written(df: DataFrame) -> Iterator[DataFrame]:
+    """``df`` as a table in the shared folder, smaller there than a checkpoint, for as long as the block runs."""
+    spark, where = df.sparkSession, f"{shared_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    try:
+        df.write.option("compression", "zstd").parquet(where)
+        yield spark.read.schema(df.schema).parquet(where)
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(where)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def unused(taken: Iterable[str], name: str) -> str:
     """A column name that no column has, whatever its case."""
     low = {c.lower() for c in taken}

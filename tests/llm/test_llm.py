@@ -258,6 +258,29 @@ def test_suffix_query(spark, rows):
     assert sorted(map(tuple, queries.op9_suffix_dedup(spark, SF).collect()), key=repr) == plain_suffix(rows)
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.binary(max_size=90).map(lambda b: bytes(x % 3 for x in b)), min_size=1, max_size=6), st.integers(4, 40))
+def test_suffix_pointers(texts, length):
+    """Places with so many bytes left share a pointer if and only if these bytes are equal."""
+    sizes, data = np.array([len(t) for t in texts]), b"".join(texts)
+    ends = np.repeat(np.cumsum(sizes), sizes)
+    got, one, other = suffix_dedup.refined(np.frombuffer(data, np.uint8), ends, length), {}, {}
+    for p in range(len(data)):
+        if ends[p] - p >= length:
+            b = data[p : p + length]
+            assert one.setdefault(b, got[p]) == got[p] and other.setdefault(got[p], b) == b
+
+
+def test_suffix_runs_at_segment_borders(monkeypatch):
+    data = np.random.default_rng(5).integers(97, 100, 9000).astype(np.uint8)
+    monkeypatch.setattr(suffix_dedup, "SEGMENT", 1 << 20)
+    whole = suffix_dedup.runs(data)
+    monkeypatch.setattr(suffix_dedup, "SEGMENT", 1 << 11)
+    cut = suffix_dedup.runs(data)
+    starts = lambda got: [(int(a), s) for a, first, last in zip(*got[:3], strict=True) for s in range(first, last + 1)]
+    assert starts(whole) == starts(cut) and len(set(cut[1].tolist())) == len(cut[1])
+
+
 def test_suffix_cases(spark, monkeypatch, none):
     rng = np.random.default_rng(1)
     word = lambda n: "".join(rng.choice(list("abcdefgh "), n))
