@@ -17,7 +17,7 @@ import base64
 import bisect
 import gc
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -185,22 +185,40 @@ class Transducer:
         return out
 
 
+def _utf8_table() -> list[list[int]]:
+    """Next state by state and byte. 0: between characters; 1 to 3: so many continuation bytes to come; 4 to 7: the byte after
+    E0, ED, F0 and F4, whose range is narrower; 8: broken."""
+    table = [[8] * 256 for _ in range(9)]
+
+    def to(state: int, first: int, last: int, following: int) -> None:
+        table[state][first : last + 1] = [following] * (last + 1 - first)
+
+    to(0, 0x00, 0x7F, 0), to(0, 0xC2, 0xDF, 1), to(0, 0xE0, 0xEF, 2), to(0, 0xF0, 0xF4, 3)
+    for state in (1, 2, 3):
+        to(state, 0x80, 0xBF, state - 1)
+    for state, lead, first, last, following in ((4, 0xE0, 0xA0, 0xBF, 1), (5, 0xED, 0x80, 0x9F, 1), (6, 0xF0, 0x90, 0xBF, 2), (7, 0xF4, 0x80, 0x8F, 2)):
+        to(0, lead, lead, state), to(state, first, last, following)
+    return table
+
+
+UTF8 = _utf8_table()
+
+
 class Utf8:
-    """Bytes in, text out, at any cut: the state is how many bytes the open character still needs, and those it has."""
+    """Bytes in, text out, at any cut: a table of states says whether a character is still open, and its bytes wait."""
 
     def __init__(self):
         self.tail = b""
 
     @staticmethod
     def open_bytes(data: bytes) -> int:
-        """How many bytes at the end belong to a character that is not whole yet."""
-        for back in range(1, min(3, len(data)) + 1):
-            b = data[-back]
-            if b >= 0xC0:
-                need = 2 if b < 0xE0 else 3 if b < 0xF0 else 4
-                return back if back < need else 0
-            if b < 0x80:
-                return 0
+        """How many bytes at the end belong to a character that is not whole yet: the states from its first byte on."""
+        for k in range(len(data) - 1, max(-1, len(data) - 4), -1):
+            if data[k] & 0xC0 != 0x80:  # no continuation: a character begins here, whatever was before
+                state = 0
+                for byte in data[k:]:
+                    state = UTF8[state][byte]
+                return len(data) - k if 0 < state < 8 else 0
         return 0
 
     def feed(self, data: bytes, final: bool = False) -> str:
@@ -210,15 +228,15 @@ class Utf8:
         return data[: len(data) - cut].decode("utf-8", "replace")
 
 
-def decode_stream(ids: Iterable[int], token: dict[int, bytes] | list[bytes], every: int = 4096) -> Iterator[str]:
-    """The text of ids, in parts of ``every`` ids; a character may span parts."""
-    machine, part = Utf8(), []
-    for i in ids:
-        part.append(token[i])
-        if len(part) == every:
-            yield machine.feed(b"".join(part))
-            part = []
-    yield machine.feed(b"".join(part), final=True)
+EVERY = 4096
+
+
+def decode_parts(ids: list, spelled: Callable[[object], bytes], every: int = EVERY) -> Iterator[tuple[bytes, str]]:
+    """The bytes of ids in parts of ``every`` ids, and the text that each part completes; a character may span parts."""
+    machine = Utf8()
+    for at in range(0, max(1, len(ids)), every):
+        data = b"".join(map(spelled, ids[at : at + every]))
+        yield data, machine.feed(data, final=at + every >= len(ids))
 
 
 class Encoder:
@@ -242,10 +260,11 @@ class Encoder:
 
     def digests(self, text: str) -> tuple[int, str, str]:
         """Count of ids, SHA-256 of the ids in decimal and of the bytes that they decode to."""
-        said = self.said(text)
+        said, back = self.said(text), hashlib.sha256()
         ids = said.split(" ") if said else []
-        back = Utf8().feed(b"".join(map(self.spelled, ids)), final=True)
-        return len(ids), hashlib.sha256(said.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()
+        for data, _ in decode_parts(ids, self.spelled):
+            back.update(data)
+        return len(ids), hashlib.sha256(said.encode()).hexdigest(), back.hexdigest()
 
 
 def encoder_of(path: str, pattern: str, pieces: int, states: int) -> Encoder:
