@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import hold, shared_dir, small
@@ -59,13 +59,14 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         self.kind, self.code = ("<u2", "H") if self.library.get_vocab_size() <= 1 << 16 else ("<u4", "I")
         with open(path, "rb") as f:
             setup = json.load(f)
         before = setup["pre_tokenizer"] or {}
         plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not setup.get("normalizer")
         self.split = narrow(PATTERN).findall if plain else None
+        # texts that spell a token which the library looks for before it cuts go to it whole
+        self.odd = "|".join([ODD, *(re.escape(t["content"]) for t in setup.get("added_tokens") or [])])
         self.kept = Recent(PIECES)
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
@@ -110,7 +111,7 @@ class Encoder:
 
     def batch(self, texts: pa.Array) -> list[np.ndarray]:
         texts = pc.fill_null(texts, "")
-        odd = pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False) if self.split else np.ones(len(texts), bool)
+        odd = pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False) if self.split else np.ones(len(texts), bool)
         out: list = [None] * len(texts)
         calm = np.flatnonzero(~odd)
         if len(calm):
@@ -206,27 +207,36 @@ def merkle(leaves: list[bytes]) -> bytes:
 def _roots(df: DataFrame) -> DataFrame:
     """(part, root) of the leaves of each part, in order of ``at``. Parts are single partitions of the recipes' files.
 
-    The tree is built as leaves come: a stack of whole subtrees, so memory is logarithmic in a part's documents.
+    Trees are built as leaves come: a stack of whole subtrees, so memory is logarithmic in a part's documents.
     """
 
-    def run(key, tables):
-        stack: list[tuple[int, bytes]] = []
-        for b in tables:
-            for leaf in b.column("leaf").to_pylist():
-                height = 0
+    def top(stack: list[tuple[int, bytes]]) -> bytes:
+        out = stack.pop()[1]
+        while stack:
+            out = hashlib.sha256(stack.pop()[1] + out).digest()
+        return out
+
+    def run(batches):
+        now, stack = None, []
+        for b in batches:
+            done: list[tuple[int, bytes]] = []
+            for part, leaf in zip(b.column("part").to_pylist(), b.column("leaf").to_pylist(), strict=True):
+                if part != now and stack:
+                    done.append((now, top(stack)))
+                now, height = part, 0
                 while stack and stack[-1][0] == height:
                     leaf, height = hashlib.sha256(stack.pop()[1] + leaf).digest(), height + 1
                 stack.append((height, leaf))
-        top = stack.pop()[1]
-        while stack:
-            top = hashlib.sha256(stack.pop()[1] + top).digest()
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([top], pa.binary())], ["part", "root"])
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in done], pa.int32()), pa.array([r for _, r in done], pa.binary())], ["part", "root"])
+        if stack:
+            yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([top(stack)], pa.binary())], ["part", "root"])
 
-    return df.select("part", "at", "leaf").repartition("part").sortWithinPartitions("part", "at").groupBy("part").applyInArrow(lambda key, t: run_all(run, key, t), "part int, root binary")
+    return df.select("part", "at", "leaf").repartition("part").sortWithinPartitions("part", "at").mapInArrow(run, "part int, root binary")
 
 
-def run_all(run, key, whole: pa.Table) -> pa.Table:
-    return pa.Table.from_batches(list(run(key, whole.sort_by("at").to_batches())))
+def _leaf() -> Column:
+    """A recipe's leaf: the hash over its document's id and its chunks' addresses."""
+    return F.unhex(F.sha2(F.concat_ws("", F.col("doc_id").cast("string"), F.transform("chunks", lambda c: F.hex(c["address"]))), 256))
 
 
 def write_store(docs: DataFrame, tokenizer: str, where: str, end: int = END) -> str:
@@ -237,7 +247,7 @@ def write_store(docs: DataFrame, tokenizer: str, where: str, end: int = END) ->
     objects.write.partitionBy("kind").option("compression", "zstd").parquet(f"{where}/objects")
     refs = spark.read.schema("address binary, doc_id long, row long, seq int, n int, payload binary, kind string").parquet(f"{where}/objects").where("kind = 'ref'")
     list_of = F.sort_array(F.collect_list(F.struct("seq", "address", "n")))
-    recipes = refs.groupBy("doc_id", "row").agg(list_of.alias("chunks")).withColumn("leaf", F.unhex(F.sha2(F.concat_ws("", F.col("doc_id").cast("string"), F.transform("chunks", lambda c: F.hex(c["address"]))), 256)))
+    recipes = refs.groupBy("doc_id", "row").agg(list_of.alias("chunks")).withColumn("leaf", _leaf())
     recipes = recipes.withColumn("n_tokens", F.aggregate("chunks", F.lit(0).cast("long"), lambda a, c: a + c["n"]))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = recipes.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "leaf", "row").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "leaf", "row")
@@ -287,7 +297,7 @@ def read_store(spark: SparkSession, where: str, root: str, tokenizer_kind: str =
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the files; fails if a file disagrees with its address."""
     manifest = spark.read.schema("part int, start long, n_tokens long, documents long, root binary").parquet(f"{where}/manifest").orderBy("part").collect()
     recipes = spark.read.schema("doc_id long, row long, chunks array<struct<seq:int,address:binary,n:int>>, leaf binary, n_tokens long, part int, at long").parquet(f"{where}/recipes")
-    now = {r["part"]: bytes(r["root"]) for r in _roots(recipes).collect()}  # one row for each part
+    now = {r["part"]: bytes(r["root"]) for r in _roots(recipes.withColumn("leaf", _leaf())).collect()}  # one row for each part; leaves as the chunk lists give them
     if now != {r["part"]: bytes(r["root"]) for r in manifest} or merkle([bytes(r["root"]) for r in manifest]).hex() != root:
         raise ValueError(f"the recipes in {where} don't match the manifest")
 
