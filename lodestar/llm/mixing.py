@@ -22,33 +22,52 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, doc_key, unused
+from .common import SALTS, WORD, cut, doc_key, unused
 
 WEIGHTS = (3, 1, 2)
 SHARE = Fraction(3, 2)
 MOST = 2
 GROUP = 1024
 FAN_IN = 256
-#: Sources are listed on the driver; more than this is refused rather than tried.
-SOURCES = 1_000_000
-
-
-def targets(sizes: list[tuple[str | None, int]], weights=WEIGHTS, share=SHARE, most=MOST) -> dict[str | None, Fraction]:
-    """Words wanted of each source: a share of all by weight, at most ``most`` times its size, the excess dealt again."""
-    order = sorted((s for s, _ in sizes if s is not None)) + [s for s, _ in sizes if s is None]
-    weight = {s: weights[k % len(weights)] for k, s in enumerate(order)}
-    cap = {s: most * n for s, n in sizes}
-    left, got, open_ = share * sum(n for _, n in sizes), {}, set(order)
-    while open_:
-        total = sum(weight[s] for s in open_)
-        over = {s for s in open_ if left * weight[s] / total > cap[s]}
-        if not over:
-            got |= {s: left * weight[s] / total for s in open_}
+#: So many sources' rows are broadcast at most; more are joined, each source's documents in parts.
+SOURCES = 100_000
+
+
+def targets(stats: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST) -> DataFrame:
+    """(source, source_size, n, target, copies, fraction) from (source, source_size, n): words wanted of each source.
+
+    A share of all by weight, at most ``most`` times the source's size, the excess dealt again: then each source has its weight
+    times one level, or its bound. The level is found in rounds of one aggregate each, exactly, in whole numbers; no round but
+    the last leaves the level as it was, and sources that reached their bound stay there.
+    """
+    order = F.col("source").asc_nulls_last()
+    ranged = cut(stats.repartitionByRange(order).sortWithinPartitions(order).select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("at")))
+    before, seen = {}, 0
+    for r in ranged.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect():  # a row for each partition
+        before[r["part"]], seen = seen, seen + r["n"]
+    offsets = ranged.sparkSession.createDataFrame(list(before.items()) or [(0, 0)], "part int, before long")
+    weight = F.element_at(F.array(*map(F.lit, weights)), F.pmod(F.col("before") + F.col("at"), F.lit(len(weights))).cast("int") + 1)
+    big = lambda x: F.col(x).cast("decimal(38,0)")
+    named = ranged.join(F.broadcast(offsets), "part").withColumn("w", weight.cast("long")).withColumn("cap", most * F.col("source_size")).drop("part", "at", "before")
+    all_ = share * (named.agg(F.sum("source_size")).first()[0] or 0)
+    level: Fraction | None = None
+    while True:
+        open_ = F.lit(True) if level is None else big("w") * level.numerator < big("cap") * level.denominator
+        r = named.agg(F.sum(F.when(open_, F.col("w"))).alias("w"), F.sum(F.when(~open_, F.col("cap"))).alias("cap")).first()
+        if not r["w"]:
+            break
+        now = (all_ - (r["cap"] or 0)) / r["w"]
+        if now == level:
             break
-        got |= {s: Fraction(cap[s]) for s in over}
-        left -= sum(cap[s] for s in over)
-        open_ -= over
-    return got
+        level = now
+    level = level or Fraction(0)
+    words, size = big("w") * level.numerator, big("source_size") * level.denominator
+    capped = words >= big("cap") * level.denominator
+    target = F.when(capped, F.col("cap").cast("double")).otherwise(words.cast("double") / float(level.denominator))
+    whole = named.select("source", "source_size", "n", target.alias("target"), words.alias("words"), F.nullif(size, F.lit(0)).alias("size"), capped.alias("capped"))
+    whole = whole.withColumn("copies", F.when(F.col("capped"), F.lit(most).cast("long")).otherwise(F.expr("words div size"))).withColumn("copies", F.coalesce("copies", F.lit(0).cast("long")))
+    rest = (F.col("words") - F.col("copies").cast("decimal(20,0)") * F.col("size")).cast("double") / F.col("size").cast("double")
+    return cut(whole.select("source", "source_size", "n", "target", F.when(F.col("size").isNull(), 0).otherwise(F.col("copies")).cast("long").alias("copies"), F.when(F.col("capped") | F.col("size").isNull(), 0.0).otherwise(rest).alias("fraction")))
 
 
 def coin(*parts) -> float:
@@ -98,24 +117,26 @@ def _round(units: DataFrame, level: int) -> DataFrame:
 
 def decide(docs: DataFrame, group: int = GROUP, fan_in: int = FAN_IN) -> DataFrame:
     """(source, size, doc_id, k1, k2, rows, copies, source_size, target): one row for each different document."""
-    spark = docs.sparkSession
     words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
     k1, k2 = doc_key()
     units = docs.select("source", "doc_id", words.alias("size"), k1.alias("k1"), k2.alias("k2")).groupBy("source", "doc_id", "k1", "k2", "size").agg(F.count("*").alias("rows"))
     units = cut(units)
-    stats = units.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("size"), F.count("*").alias("n")).limit(SOURCES + 1).collect()
-    if len(stats) > SOURCES:
-        raise ValueError(f"more than {SOURCES} sources")
-    want = targets([(r["source"], r["size"]) for r in stats])
-    plan = []
-    for r in stats:
-        x = want[r["source"]] / r["size"] if r["size"] else Fraction(0)
-        plan.append((r["source"], r["size"], float(want[r["source"]]), int(x), float(x - int(x)), max(1, -(-r["n"] // group))))
-    plan = spark.createDataFrame(plan, "source string, source_size long, target double, copies long, fraction double, groups long")
-    named = units.join(F.broadcast(plan), units["source"].eqNullSafe(plan["source"])).drop(plan["source"])  # a row for each source, at most SOURCES
+    plan = targets(units.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"), F.count("*").alias("n")))
+    few = plan.count() <= SOURCES
+
+    def with_plan(rows: DataFrame, columns: list[str]) -> DataFrame:
+        """A row for each source is broadcast where these are few; else joined with each source's documents in SALTS parts."""
+        right = plan.select(F.col("source").alias("s"), *columns)
+        if few:
+            return rows.join(F.broadcast(right), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+        left = rows.withColumn("part", F.pmod(F.xxhash64("k1", "k2", "doc_id"), F.lit(SALTS)))
+        spread = right.withColumn("of", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        return left.join(spread, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("of"))).drop("s", "part", "of")
+
+    named = with_plan(units, ["copies", "fraction", F.greatest(F.lit(1), F.ceil(F.col("n") / group)).alias("groups")])
     named = named.withColumn("grp", F.pmod(F.xxhash64("k1", "k2", "doc_id"), F.col("groups")))
     only = ["source", "size", "doc_id", "k1", "k2", "copies", "fraction", "rows", "grp"]
-    done, level, most = [], 0, max([r["n"] // group for r in stats], default=0) + 1
+    done, level, most = [], 0, (plan.agg(F.max("n")).first()[0] or 0) // group + 1
     now = named.select(*only)
     while True:
         now = cut(_round(now, level))
@@ -132,7 +153,7 @@ def decide(docs: DataFrame, group: int = GROUP, fan_in: int = FAN_IN) -> DataFra
     for more in done[1:]:
         out = out.unionByName(more)
     out = out.select("source", "size", "doc_id", "k1", "k2", "rows", (F.col("copies") + F.col("fraction").cast("long")).alias("copies"))
-    return out.join(F.broadcast(plan.select(F.col("source").alias("s"), "source_size", "target")), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    return with_plan(out, ["source_size", "target"])
 
 
 def mix(docs: DataFrame) -> DataFrame:
