@@ -7,8 +7,8 @@ whose ball may still hold a better one: centre times query plus radius times the
 order of that bound for all queries of a block together, and a query leaves a node once the bound falls under its kth score.
 
 Cases: vectors null, empty, or holding null or non-finite components take no part, nor do rows without an id; vectors of
-different lengths never meet; a query's own id is no candidate; an id that repeats is a candidate for each row and one query;
-ties go to the smaller id; an empty table gives an empty result; other columns are not read.
+different lengths never meet; a query's own id is no candidate; an id that repeats is a candidate for each row and one query, by its
+vector of least hash; ties go to the smaller id; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -159,8 +159,8 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
         return pa.table({"cell": pa.array([key[0].as_py()], pa.int64()), "salt": pa.array([key[1].as_py()], pa.int32()), "centre": pa.array([tree[0][0][0].tolist()], pa.list_(pa.float64())), "radius": pa.array([tree[0][0][1]], pa.float64()), "tree": pa.array([pickle.dumps(tree)], pa.binary())})
 
     trees = cut(salted.groupBy("cell", "salt").applyInArrow(plant, "cell long, salt int, centre array<double>, radius double, tree binary"))
-    queries = salted.where(F.col("id") % every == 0).dropDuplicates(["id"]).select(F.col("id").alias("q"), F.col("v").alias("qv"), "cell", "salt", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
-    planted = trees.select("cell", "salt", "tree").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    one = salted.where(F.col("id") % every == 0).groupBy("id").agg(F.min(F.struct(F.xxhash64("v").alias("h"), "v", "cell", "salt")).alias("x"))
+    queries = one.select(F.col("id").alias("q"), F.col("x.v").alias("qv"), "x.cell", "x.salt", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
 
     def hunt(key, left, right):
         if not left.num_rows or not right.num_rows:
@@ -171,7 +171,10 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
         return pa.table({"q": np.repeat(q, real.sum(axis=1)), "id": got[real], "score": score[real]})
 
     def wave(asked: DataFrame) -> DataFrame:
+        """Each tree goes only to the blocks of queries that ask for it."""
         asked = asked.select("q", "qv", "kth", *[F.col(c).alias(f"to_{c}") for c in ("cell", "salt", "block")])
+        wanted = asked.select(F.col("to_cell").alias("cell"), F.col("to_salt").alias("salt"), F.col("to_block").alias("block")).distinct()
+        planted = trees.select("cell", "salt", "tree").join(wanted, ["cell", "salt"])
         return planted.groupBy("cell", "salt", "block").cogroup(asked.groupBy("to_cell", "to_salt", "to_block")).applyInArrow(hunt, "q long, id long, score long")
 
     home = cut(wave(queries.withColumn("kth", F.lit(int(LOW)).cast("long"))))
@@ -181,11 +184,13 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     balls = trees.select("cell", "salt", "centre", "radius", F.size("centre").alias("cdim"))
     parts = -(-balls.count() // BALLS)
     balls = balls.withColumn("part", F.pmod(F.xxhash64("cell", "salt"), F.lit(max(parts, 1))).cast("int"))
-    balls = F.broadcast(balls) if parts <= 1 else balls  # BALLS rows at most; more are joined part by part
+    # BALLS rows are broadcast at most; more are joined part by part with the queries block by block
+    balls = F.broadcast(balls) if parts <= 1 else balls.withColumn("to_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     knows = knows.withColumn("dim", F.size("qv")).withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(max(parts, 1) - 1))))
     length = F.sqrt(F.aggregate("qv", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     dot = F.aggregate(F.zip_with("qv", "centre", lambda x, y: x.cast("double") * y), F.lit(0.0), lambda a, x: a + x)
-    asked = knows.join(balls, (F.col("dim") == F.col("cdim")) & (F.col("at") == F.col("part")))
+    met = (F.col("dim") == F.col("cdim")) & (F.col("at") == F.col("part"))
+    asked = knows.join(balls, met if parts <= 1 else met & (F.col("block") == F.col("to_block")))
     asked = asked.where((F.col("cell") != F.col("own")) | (F.col("salt") != F.col("own_salt"))).where((dot + length * F.col("radius")) * (1 + 1e-9) + 1 >= F.col("kth").cast("double")).select("q", "qv", "kth", "cell", "salt", "block")
     found = home.unionByName(wave(asked))
     best = found.groupBy("q").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "id"))), 1, k).alias("best"))
