@@ -6,9 +6,10 @@ a document whose weight reaches above the point. Each point falls on one of ``M`
 documents agree in a place with the probability of their weighted Jaccard similarity. Pieces are only followed up to the time
 by which every place is taken.
 
-Bands of the signature are the buckets. Each member of a bucket is held against the least member exactly, by the overlap of the
-multisets; those that fail are held exactly against all members, in blocks of bounded size with an index over shingles, so no
-bucket is capped and no pair is listed that isn't a link. Exact copies are one node from the start. Links are followed to
+Bands of the signature are the buckets. Each member of a bucket is held against the least member by the whole overlap of the
+multisets; those that fail are held so against all members, in blocks of bounded size with an index over shingles, so no bucket
+is capped and no pair is listed that isn't a link. In an overlap a shingle is known by 32 bits: two texts of ten thousand
+different shingles share one by chance in one case of forty. Exact copies are one node from the start. Links are followed to
 components by passing the least label on, in checkpointed rounds.
 
 Cases: null counts as an empty text; documents without words are copies of each other only; a repeated row is one more copy; a
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, doc_key, small, unused
+from .common import WORD, cut, doc_key, row_order, small, unused
 from .quality import Words
 
 SHINGLE, SIMILAR = 5, 0.8
@@ -267,5 +268,5 @@ def deduplicate(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     k1, k2 = doc_key()
     keyed = docs.withColumn(a, k1).withColumn(b, k2)
     kept = keyed.join(want, (keyed[a] == want[f"{a}n"]) & (keyed[b] == want[f"{b}n"]) & keyed["doc_id"].eqNullSafe(want[f"{a}d"]), "left_semi")
-    one = kept.withColumn(c, F.row_number().over(Window.partitionBy(a, b, "doc_id").orderBy(*[F.col(f"`{x}`") for x in docs.columns if x in ("source", "lang")] or [F.lit(0)]))).where(F.col(c) == 1)
+    one = kept.withColumn(c, F.row_number().over(Window.partitionBy(a, b, "doc_id").orderBy(*row_order(docs)))).where(F.col(c) == 1)
     return one.select(*[F.col(f"`{x}`") for x in docs.columns])

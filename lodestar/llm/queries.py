@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, balltree, bpe, castore, line_dedup, mixing, pii, quality, recurrent, suffix_dedup
+from . import bagminhash, balltree, bpe, castore, line_dedup, mixing, pii, pipeline, quality, recurrent, suffix_dedup
 from .common import table
 
 
@@ -72,7 +71,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_bagminhash": op10_bagminhash,
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline.run,
 }
 
 #: Windows of at least 50 words (spaces and one) by their text; the Spark query finds the same by fingerprints and hashes.

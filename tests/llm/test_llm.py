@@ -6,6 +6,7 @@ import re
 import tracemalloc
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -73,7 +74,17 @@ def test_bpe_as_the_library(encoder, reference, text):
 @settings(max_examples=100, deadline=None)
 @given(st.text(max_size=60).filter(lambda t: not any(0xD800 <= ord(c) < 0xE000 for c in t)), st.integers(1, 5))
 def test_bpe_round_trip(encoder, text, every):
-    assert "".join(bpe.decode_stream(encoder.ids(text), encoder.machine.token, every)) == text
+    parts = list(bpe.decode_parts(encoder.ids(text), encoder.machine.token.__getitem__, every))
+    assert "".join(t for _, t in parts) == text and b"".join(b for b, _ in parts) == text.encode()
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.binary(max_size=12), st.integers(1, 4))
+def test_utf8_states(data, every):
+    """Any bytes in any parts give what they give at once, and a character that can still become whole waits."""
+    machine = bpe.Utf8()
+    got = [machine.feed(data[k : k + every]) for k in range(0, len(data), every)] + [machine.feed(b"", final=True)]
+    assert "".join(got) == data.decode("utf-8", "replace")
 
 
 def test_bpe_long_pieces_and_small_tables(reference):
@@ -314,6 +325,8 @@ def plain_spans(text):
 
 
 TRICKY = ["a@b.c_d@e.f", "x@y z@w.com.", "1.2.3.4.5.6.7.8", "300.1.1.1 001.002.003.004 1.2.3", "4111 1111 1111 1111", "4111-1111-1111-1112 4111111111111111", "+1 (555) 010-9999x +12", "é ü@x.de ñ a.b+c%d@x-y.z.org", "9" * 5000, "a" * 20000, "1-2 3-4 " * 3000, "+1.2.3.4.5.6.7.8.9.0", "a@b.c.d.e@f.g", "..@..a@-.-", None, "", "@" * 50]
+TRICKY += ["10.0.0.1 " * 700, "4111 1111 1111 1111, é " * 600, "a@b.co +1 555 010 99 99; " * 600, "7-4111 1111 1111 1111 -4111111111111111 5 -4111-1111-1111-1111"]
+TRICKY += ["".join(np.random.default_rng(k).choice(list("0123456789 -."), 4000, p=[0.08] * 10 + [0.09, 0.08, 0.03])) for k in range(6)]
 
 
 def test_pii_base(spark, rows):
@@ -397,7 +410,6 @@ def test_top_k_cases(spark, monkeypatch):
 
 def plain_store(rows):
     library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    library.encode_special_tokens = True
     start, out = 0, []
     for i, t in rows:
         ids = [*library.encode(t or "", add_special_tokens=False).ids, 2]
@@ -410,6 +422,23 @@ def test_store_query(spark, rows):
     assert sorted(map(tuple, queries.op7_castore(spark, SF).collect())) == plain_store(rows)
 
 
+def test_store_encodes_as_the_library(spark):
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>\n y", "<|endoftex|>", "plain", "a  b", "é <|endoftext|>ü", None]
+    rows = list(enumerate(texts))
+    got = castore.store_documents(spark.createDataFrame(rows, "doc_id long, text string"), P.path("byte_bpe_50k.json"))
+    assert sorted(map(tuple, castore.read_store(spark, *got).collect())) == plain_store(rows)
+
+
+def test_store_checks_the_chunk_lists(spark, tmp_path):
+    text = " ".join(f"word{k}" for k in range(9000))
+    root = castore.write_store(spark.createDataFrame([(1, text)], "doc_id long, text string"), P.path("byte_bpe_50k.json"), str(tmp_path / "s"))
+    recipes = spark.read.parquet(str(tmp_path / "s/recipes"))
+    turned = spark.createDataFrame(recipes.withColumn("chunks", F.transform(F.reverse("chunks"), lambda c, i: F.struct(i.alias("seq"), c["address"].alias("address"), c["n"].alias("n")))).collect(), recipes.schema)
+    turned.coalesce(1).write.mode("overwrite").parquet(str(tmp_path / "s/recipes"))
+    with pytest.raises(ValueError):
+        castore.read_store(spark, str(tmp_path / "s"), root)
+
+
 def test_store_odd(spark, odd, none):
     got = queries.castore.store_documents(odd.where("doc_id is not null"), P.path("byte_bpe_50k.json"))
     ordered = sorted(((r["doc_id"], r["text"]) for r in odd.where("doc_id is not null").collect()), key=lambda r: r[0])
@@ -437,9 +466,32 @@ def test_crc_join():
 # --- 8: mixing -----------------------------------------------------------------------------------------------------------
 
 
-def test_targets():
-    got = mixing.targets([("b", 100), ("a", 10), (None, 1000), ("c", 100)])
-    assert got["a"] == 20 and got["b"] <= 200 and got["c"] <= 200 and sum(got.values()) == 1815
+def plain_targets(sizes):
+    """Exact fractions, in rounds: whatever is over twice its size stops there, the rest shares what is left."""
+    order = sorted(s for s, _ in sizes if s is not None) + [s for s, _ in sizes if s is None]
+    weight, size = {s: (3, 1, 2)[k % 3] for k, s in enumerate(order)}, dict(sizes)
+    stopped: dict = {}
+    while True:
+        left = Fraction(3, 2) * sum(size.values()) - sum(stopped.values())
+        open_ = [s for s in order if s not in stopped]
+        got = {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+        over = {s: Fraction(2 * size[s]) for s in open_ if got[s] > 2 * size[s]}
+        if not over:
+            return got | stopped
+        stopped |= over
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_targets(spark, monkeypatch, few):
+    """Also where there are more sources than are broadcast."""
+    if not few:
+        monkeypatch.setattr(mixing, "SOURCES", 1)
+    rng = np.random.default_rng(3)
+    for sizes in ([("b", 100), ("a", 10), (None, 1000), ("c", 100)], [(f"s{k:03}", int(x)) for k, x in enumerate(rng.pareto(0.6, 60) * 50)], [("only", 7)], [("none", 0), ("x", 3)]):
+        want = plain_targets(sizes)
+        df = spark.createDataFrame([(k, s, " ".join(["w"] * n)) for k, (s, n) in enumerate(sizes)], "doc_id long, source string, text string")
+        for r in mixing.decide(df).collect():
+            assert r["target"] == pytest.approx(float(want[r["source"]]), rel=1e-12) and r["copies"] in (int(r["target"] // r["size"]), -int(-r["target"] // r["size"])) if r["size"] else r["target"] == 0
 
 
 def test_meetings_keep_the_mean():

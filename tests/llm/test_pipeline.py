@@ -13,7 +13,7 @@ import corpus_pipeline
 from lodestar.llm import bpe, mixing, quality
 from lodestar.llm.common import doc_key, table
 
-from .test_llm import WORD, plain_classes, plain_rules
+from .test_llm import WORD, plain_classes, plain_rules, plain_targets
 
 SF = "/root/testdata/sf0.001"
 
@@ -72,7 +72,7 @@ def plain_mix(docs, keys):
     by = defaultdict(list)
     for d in docs:
         by[d["source"]].append(d)
-    want, out = mixing.targets([(s, sum(size[d["doc_id"]] for d in g)) for s, g in by.items()]), []
+    want, out = plain_targets([(s, sum(size[d["doc_id"]] for d in g)) for s, g in by.items()]), []
     for s, group in by.items():
         assert len(group) <= mixing.GROUP
         x = want[s] / sum(size[d["doc_id"]] for d in group)
