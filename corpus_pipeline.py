@@ -1,61 +1,8 @@
-"""From raw documents to a mixed, tokenized training corpus, in five stages; part of the training-data subpackage.
+"""From raw documents to a mixed, tokenized training corpus, in five stages; see ``lodestar.llm.pipeline``.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``docs``. Between stages
-the rows are written as Parquet and read again, so a lost executor costs a stage's tasks and no more.
+Part of the training-data subpackage, and of no use without it.
 """
 
-from __future__ import annotations
+from lodestar.llm.pipeline import ORACLE_SQL, STAGES, run
 
-import uuid
-
-import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from lodestar.llm import bagminhash, bpe, line_dedup, mixing, quality
-from lodestar.llm.common import shared_dir, table
-
-
-def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
-    ratio = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, ratio).where("kept").select(*docs.columns)
-
-
-def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeated runs of lines go; so do documents of which no word is left. n_chars is counted anew."""
-    done = line_dedup.deduplicate(docs).where((F.col("n_removed_lines") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    return done.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
-
-
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return bagminhash.deduplicate(docs)
-
-
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    return mixing.mix(docs)
-
-
-def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts, and digests of the ids and of what they decode to."""
-    # smaller tables than alone: the executors' heaps are grown by the stages before
-    return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep=["doc_id", "lang", "source"], pieces=60_000, states=60_000)
-
-
-STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup_stage), ("near dedup", near_dedup), ("mixing", mix_sources), ("tokens", tokenize)]
-
-#: Signatures, random rounding and merges are beyond SQL; the tests hold run() against a plain version.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents."""
-    docs, home = table(spark, sf_dir, "documents"), f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs.write.option("compression", "zstd").parquet(f"{home}/{k}")
-            docs = spark.read.schema(docs.schema).parquet(f"{home}/{k}")
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
