@@ -56,14 +56,20 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
         self.kind, self.code = ("<u2", "H") if self.library.get_vocab_size() <= 1 << 16 else ("<u4", "I")
         with open(path, "rb") as f:
             setup = json.load(f)
+        # the same model over words that are spelled in the vocabulary's letters already, so nothing is left to cut or to spell
+        self.words = Tokenizer(self.library.model)
+        self.words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.spelled = {ord(c): spell(c)[0][0] for c in " \n" + LETTERS_PLAIN}
+        self.mark = self.library.token_to_id(self.spelled[ord("\n")])
         before = setup["pre_tokenizer"] or {}
-        plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not setup.get("normalizer")
+        plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not setup.get("normalizer") and self.mark is not None
         self.split = narrow(PATTERN).findall if plain else None
         # texts that spell a token which the library looks for before it cuts go to it whole
         self.odd = "|".join([ODD, *(re.escape(t["content"]) for t in setup.get("added_tokens") or [])])
@@ -75,6 +81,21 @@ class Encoder:
             out += [array(self.code, got.ids).tobytes() for got in self.library.encode_batch_fast(pieces[at : at + 5000], add_special_tokens=False)]
         return out
 
+    def _stems(self, stems: list[str]) -> pa.Array:
+        """Words of letters, each behind a space but for FIRST: many to a call, between them a line break, which is a token of its own."""
+        between, parts, sizes = f" {self.spelled[ord(chr(10))]} ", [np.zeros(0, self.kind)], [np.zeros(0, np.int64)]
+        space = self.spelled[32]
+        words = [w[1:] if w[0] == FIRST else space + w for w in " ".join(["", *stems]).translate(self.spelled).split(space)[1:]]
+        for at in range(0, len(words), 5000):
+            groups = [words[k : k + 500] for k in range(at, min(at + 5000, len(words)), 500)]
+            for got in self.words.encode_batch_fast([between.join(g) for g in groups], add_special_tokens=False):
+                ids = np.array(got.ids, self.kind)
+                edges = np.flatnonzero(ids == self.mark)
+                sizes.append(np.diff(np.concatenate([[-1], edges, [len(ids)]])) - 1)
+                parts.append(ids[ids != self.mark])
+        flat, ends = np.concatenate(parts), np.append(0, np.cumsum(np.concatenate(sizes)))
+        return pa.Array.from_buffers(pa.binary(), len(stems), [None, pa.py_buffer((ends * flat.itemsize).astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])
+
     def _words(self, words: list[str]) -> list[bytes]:
         """Stretches between single spaces, each with the space before it; FIRST stands for none."""
         cut = [self.split(w[1:] if w[0] == FIRST else f" {w}") for w in words]
@@ -89,14 +110,16 @@ class Encoder:
 
         Most words are letters and then marks; their ids are those of the letters and those of the marks.
         """
-        listed = pc.split_pattern(pc.binary_join_element_wise(pa.scalar(FIRST), texts, ""), " ")
+        # a line break, which no white space is beside here, is a word of its own, and the next one has no space before it
+        lines = pc.replace_substring(texts, "\n", f" {FIRST}\n {FIRST}")
+        listed = pc.split_pattern(pc.binary_join_element_wise(pa.scalar(FIRST), lines, ""), " ")
         coded = listed.flatten().dictionary_encode()
         words, at = coded.dictionary, coded.indices.to_numpy()
-        simple = pc.match_substring_regex(words, f"^[{LETTERS}]+[{MARKS}]*$")
+        simple = pc.match_substring_regex(words, f"^{FIRST}?[{LETTERS}]+[{MARKS}]*$")
         easy, hard = words.filter(simple), words.filter(pc.invert(simple))
         stems = pc.utf8_rtrim(easy, characters=MARKS_PLAIN).dictionary_encode()
-        tails = pc.utf8_ltrim(easy, characters=LETTERS_PLAIN).dictionary_encode()
-        of_stem = pa.array(self.kept.all([f" {x}" for x in stems.dictionary.to_pylist()], self._encode), pa.binary())
+        tails = pc.utf8_ltrim(easy, characters=FIRST + LETTERS_PLAIN).dictionary_encode()
+        of_stem = self._stems(stems.dictionary.to_pylist())
         of_tail = pa.array(self.kept.all(tails.dictionary.to_pylist(), self._encode), pa.binary())
         of_easy = pc.binary_join_element_wise(of_stem.take(stems.indices), of_tail.take(tails.indices), b"")
         both = pa.concat_arrays([of_easy, pa.array(self._words(hard.to_pylist()), pa.binary())])
@@ -129,19 +152,26 @@ def encoder_of(path: str) -> Encoder:
     return hold(("castore", path), lambda: Encoder(path))
 
 
-def cuts(ids: np.ndarray, least: int = LEAST, mean: int = MEAN, most: int = MOST) -> list[int]:
-    """Where chunks end: where the rolling hash of the last WINDOW ids has zeros, no chunk under ``least`` or over ``most``."""
-    with np.errstate(over="ignore"):
-        h = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-        base, step = 0xBF58476D1CE4E5B9, 1
-        while step < WINDOW:
-            if len(h) > step:
-                moved = h[:-step] * np.uint64(base)
-                h[step:] += moved
-            base, step = base * base & (1 << 64) - 1, 2 * step
-    ends, last, n = [], 0, len(ids)
-    for at in (np.flatnonzero(h >> np.uint64(40) & np.uint64(mean - 1) == 0) + 1).tolist():
+def marks(ids: np.ndarray, mean: int = MEAN) -> np.ndarray:
+    """Places behind which the rolling hash of the last WINDOW ids has zeros."""
+    h = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(29)
+    base, step = 0xBF58476D1CE4E5B9, 1
+    while step < WINDOW:
+        if len(h) > step:
+            moved = h[:-step] * np.uint64(base)
+            h[step:] += moved
+        base, step = base * base & (1 << 64) - 1, 2 * step
+    return np.flatnonzero(h >> np.uint64(40) & np.uint64(mean - 1) == 0) + 1
+
+
+def cuts(places: list[int], n: int, least: int = LEAST, most: int = MOST) -> list[int]:
+    """Where chunks of ``n`` ids end: at marks, no chunk under ``least`` or over ``most``.
+
+    ``least`` is over WINDOW, so no mark that depends on what stands before the document is ever taken.
+    """
+    ends, last = [], 0
+    for at in places:
         while at - last > most:
             last += most
             ends.append(last)
@@ -165,9 +195,17 @@ def _emit(docs: DataFrame, path: str, end: int) -> DataFrame:
         encoder, sent, row = encoder_of(path), set(), TaskContext.get().partitionId() << 40
         for b in small(batches, 4000, holding=True):
             out = {k: [] for k in ("kind", "address", "doc_id", "row", "seq", "n", "payload")}
-            for doc_id, ids in zip(b.column("doc_id").to_pylist(), encoder.batch(b.column("text")), strict=True):
-                ids, last, row = np.append(ids, ids.dtype.type(end)), 0, row + 1
-                for seq, to in enumerate(cuts(ids)):
+            stop, parts = np.array([end], encoder.kind), []
+            for ids in encoder.batch(b.column("text")):
+                parts += ids, stop
+            flat = np.concatenate([*parts, np.zeros(0, encoder.kind)])
+            begins = np.cumsum([0] + [len(ids) + 1 for ids in parts[::2]])
+            places = marks(flat)
+            of = np.searchsorted(places, begins, "right")
+            for k, doc_id in enumerate(b.column("doc_id").to_pylist()):
+                begin, last, row = int(begins[k]), 0, row + 1
+                ids = flat[begin : begins[k + 1]]
+                for seq, to in enumerate(cuts((places[of[k] : of[k + 1]] - begin).tolist(), len(ids))):
                     chunk, last = ids[last:to], to
                     name = address(chunk)
                     rows = [("ref", name, doc_id, row, seq, len(chunk), None)]
@@ -175,7 +213,7 @@ def _emit(docs: DataFrame, path: str, end: int) -> DataFrame:
                         if len(sent) > MEMO:
                             sent.clear()
                         sent.add(name)
-                        rows.append(("chunk", name, None, None, None, len(chunk), zlib.compress(chunk.tobytes(), 1)))
+                        rows.append(("chunk", name, None, None, None, len(chunk), chunk.tobytes()))
                     for r in rows:
                         for k, v in zip(out, r, strict=True):
                             out[k].append(v)
@@ -244,7 +282,7 @@ def write_store(docs: DataFrame, tokenizer: str, where: str, end: int = END) ->
     spark = docs.sparkSession
     key = F.when(F.col("kind") == "chunk", F.xxhash64("address")).otherwise(F.xxhash64("doc_id", "row"))
     objects = _emit(docs, tokenizer, end).withColumn("to", key).repartition("to").drop("to").mapInArrow(_once, "kind string, address binary, doc_id long, row long, seq int, n int, payload binary")
-    objects.write.partitionBy("kind").option("compression", "zstd").parquet(f"{where}/objects")
+    objects.write.partitionBy("kind").option("compression", "zstd").option("parquet.compression.codec.zstd.level", "1").parquet(f"{where}/objects")
     refs = spark.read.schema("address binary, doc_id long, row long, seq int, n int, payload binary, kind string").parquet(f"{where}/objects").where("kind = 'ref'")
     list_of = F.sort_array(F.collect_list(F.struct("seq", "address", "n")))
     recipes = refs.groupBy("doc_id", "row").agg(list_of.alias("chunks")).withColumn("leaf", _leaf())
@@ -305,7 +343,7 @@ def read_store(spark: SparkSession, where: str, root: str, tokenizer_kind: str =
         for b in batches:
             crcs, sizes, names = [], [], b.column("address")
             for name, payload in zip(names.to_pylist(), b.column("payload").to_pylist(), strict=True):
-                ids = np.frombuffer(zlib.decompress(payload), tokenizer_kind)
+                ids = np.frombuffer(payload, tokenizer_kind)
                 if address(ids) != name:
                     raise ValueError(f"chunk {name.hex()} has other content")
                 crcs.append(zlib.crc32(ids.astype("<u4").tobytes()))
