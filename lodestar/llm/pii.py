@@ -21,31 +21,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, unused
+from .common import SALTS, cut, unused
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: The patterns of the four kinds.
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
-    "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,18}+(?![\x20-]?[0-9])",
+    "ip": r"(?=[0-9])(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
+    "card": r"[0-9](?<![0-9][0-9])(?<![0-9][\x20-][0-9])(?:[\x20-]?[0-9]){13,18}+(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 TERM = r"\p{L}{3,}+"
 DISCLOSURE, SMOOTH = 0.9, 1.0
 BLOCK = 256
-#: So many terms are broadcast at most; more are joined.
-TERMS = 100_000
+#: So many groups of copies are broadcast at most.
+GROUPS = 100_000
 
 
-def spans_of(text: Column, pattern: str) -> Column:
-    """Leftmost non-overlapping matches in order: array of (start, end, value), in code points.
+def matches_of(text: Column, pattern: str) -> Column:
+    """Leftmost non-overlapping matches in order, each with the length of what is between it and the one before."""
+    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    both = F.filter(F.zip_with(found, gaps, lambda m, g: F.struct(m.alias("m"), F.length(g).alias("g"))), lambda x: x["m"].isNotNull())
+    return F.when(text.rlike(pattern), both).otherwise(F.array().cast("array<struct<m:string,g:int>>"))
+
+
+def spans_of(matches: str) -> Column:
+    """(start, end, value) of a column of matches, in code points.
 
     Lengths are summed within blocks of BLOCK matches, and the blocks' sums over the blocks.
     """
-    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    both = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, g: F.struct(m.alias("m"), F.length(g).alias("g")))
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(both) - 1) / BLOCK).cast("int")), lambda k: F.slice(both, k * BLOCK + 1, BLOCK))
+    one, found = "array<struct<start:int,end:int,value:string>>", F.col(matches)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / BLOCK).cast("int")), lambda k: F.slice(found, k * BLOCK + 1, BLOCK))
 
     def step(s: Column, x: Column) -> Column:
         start = s["at"] + x["g"]
@@ -55,12 +61,11 @@ def spans_of(text: Column, pattern: str) -> Column:
     def over(s: Column, x: Column) -> Column:
         return F.struct((s["at"] + x["at"]).alias("at"), F.concat(s["got"], F.array(F.struct(s["at"].alias("from"), x["got"].alias("got")))).alias("got"))
 
-    one = "array<struct<start:int,end:int,value:string>>"
     zero = F.struct(F.lit(0).alias("at"), F.array().cast(one).alias("got"))
     each = F.transform(blocks, lambda b: F.aggregate(b, zero, step))
     whole = F.aggregate(each, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<struct<from:int,got:{one}>>").alias("got")), over)["got"]
     moved = lambda b: F.transform(b["got"], lambda x: F.struct((b["from"] + x["start"]).alias("start"), (b["from"] + x["end"]).alias("end"), x["value"].alias("value")))
-    return F.when(F.size(both) > 0, F.flatten(F.transform(whole, moved))).otherwise(F.array().cast(one))
+    return F.when(F.size(found) > 0, F.flatten(F.transform(whole, moved))).otherwise(F.array().cast(one))
 
 
 def _digits(value: Column) -> Column:
@@ -85,9 +90,10 @@ def _valid(kind: str, x: Column) -> Column:
 def base_spans(docs: DataFrame, text: str, to: str) -> DataFrame:
     """``docs`` with the spans of the four kinds in one array of (start, k, end, value), by start, then kind."""
     lit = {"email": F.col(text).contains("@"), "phone": F.col(text).contains("+")}
-    empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
+    empty = F.array().cast("array<struct<m:string,g:int>>")
     raw = {k: unused(docs.columns, f"raw_{k}") for k in PATTERNS}
-    found = docs.withColumns({raw[k]: F.when(lit[k], spans_of(F.col(text), p)).otherwise(empty) if k in lit else spans_of(F.col(text), p) for k, p in PATTERNS.items()})
+    found = docs.withColumns({raw[k]: F.when(lit.get(k, F.lit(True)), matches_of(F.col(text), p)).otherwise(empty) for k, p in PATTERNS.items()})
+    found = found.withColumns({raw[k]: spans_of(raw[k]) for k in PATTERNS})
 
     def good(n: int, k: str) -> Column:
         named = lambda x: F.struct(x["start"].alias("start"), F.lit(n).alias("k"), x["end"].alias("end"), x["value"].alias("value"))
@@ -114,29 +120,36 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
 
 
-def _places(text: Column, terms: Column) -> Column:
-    """Where one of the terms stands: array of (start, end)."""
-    told = F.filter(spans_of(text, TERM), lambda x: F.array_contains(terms, F.lower(x["value"])))
-    return F.transform(told, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+def _term_counts(docs: DataFrame) -> tuple[int, DataFrame]:
+    """How many different texts there are, and (term, n_t): in how many of them each term stands; ``docs`` has d, key and text.
+
+    Of copies the one with the least id speaks; where copies have that id too, each for its part. The groups of copies are
+    broadcast where they are few; else one text of each is brought together.
+    """
+    rows = docs.groupBy("key", "d").agg(F.count("*").alias("m"))
+    groups = cut(rows.groupBy("key").agg(F.sum("m").alias("n"), F.min(F.struct("d", "m")).alias("lead")).select("key", "n", "lead"))
+    total, copied = groups.count(), groups.where("n > 1").select(F.col("key").alias("key2"), "lead")
+    if copied.count() <= GROUPS:
+        kept = docs.join(F.broadcast(copied), F.col("key") == F.col("key2"), "left").where(F.col("key2").isNull() | F.col("lead.d").eqNullSafe(F.col("d")))
+        once = kept.select("text", (1 / F.coalesce("lead.m", F.lit(1))).alias("part"))
+    else:
+        once = docs.groupBy("key").agg(F.first("text").alias("text")).select("text", F.lit(1.0).alias("part"))
+    each = once.select(F.explode(_terms(F.col("text"))).alias("term"), "part")
+    return total, each.groupBy("term").agg(F.round(F.sum("part")).cast("long").alias("n_t"))
 
 
 def disclosing_terms(found: DataFrame, docs: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame | None:
     """(key, places) for each different text with terms that disclose an entity in it; None if no term does.
 
-    ``found`` has key, text and spans of every document with a span; ``docs`` has key and text of all.
+    ``found`` has key, text and spans of every document with a span; ``docs`` has d, key and text of all.
     """
     entities = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.array(F.xxhash64(s["k"], F.lower(s["value"])), F.xxhash64(F.lit("kind"), s["k"])))))
     once = cut(found.select("key", _masked(F.col("text"), F.col("spans")).alias("text"), entities.alias("entities")).dropDuplicates(["key"]))
     each = once.select("key", F.explode("entities").alias("entity"), "text")
     counted = each.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") > 1)  # in one text alone it has no evidence
     pairs = each.select("key", "entity", F.explode(_terms(F.col("text"))).alias("term"))
-    both = cut(pairs.groupBy("entity", "term").agg(F.count("*").alias("c")).where(F.col("c") > 1))
-    asked = cut(both.select("term").distinct())
-    # only terms that may disclose are counted; copies count once
-    asked = F.broadcast(asked) if asked.count() <= TERMS else asked
-    held = docs.select("key", F.explode(_terms(F.col("text"))).alias("term")).join(asked, "term", "left_semi")
-    terms = held.distinct().groupBy("term").agg(F.count("*").alias("n_t"))
-    total = docs.select("key").distinct().count()
+    both = pairs.groupBy("entity", "term").agg(F.count("*").alias("c")).where(F.col("c") > 1)
+    total, terms = _term_counts(docs)
     share = F.col("n_e") / total
     others = F.greatest("n_t", "c") - 1
     pmi, ic = F.log2((F.col("c") - 1 + SMOOTH * share) / (others + SMOOTH) / share), -F.log2(share)
@@ -145,7 +158,8 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, disclosure: float = DISC
     if told.isEmpty():
         return None
     hits = pairs.join(told, ["entity", "term"]).groupBy("key").agg(F.collect_set("term").alias("terms"))
-    return once.join(hits, "key").select("key", _places(F.col("text"), F.col("terms")).alias("places"))
+    words = once.join(hits, "key").select("key", "terms", matches_of(F.col("text"), TERM).alias("words"))
+    return words.select("key", F.filter(spans_of("words"), lambda x: F.array_contains("terms", F.lower(x["value"]))).alias("places"))
 
 
 def find(docs: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
@@ -154,12 +168,14 @@ def find(docs: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
     based = base_spans(plain, "text", "spans").select("d", F.xxhash64("text").alias("key"), F.when(F.size("spans") > 0, F.col("text")).alias("text"), "spans")
     based = cut(based)  # the patterns run once; texts are kept only where something was found
     short = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["k"].alias("k"), s["end"].alias("end")))
-    more = disclosing_terms(based.where(F.size("spans") > 0), plain.select(F.xxhash64("text").alias("key"), "text"), disclosure)
+    more = disclosing_terms(based.where(F.size("spans") > 0), plain.select("d", F.xxhash64("text").alias("key"), "text"), disclosure)
     rows = based.select("d", "key", short.alias("base"))
     if more is None:
         return rows.select(F.col("d").alias("doc_id"), "key", "base", F.col("base").alias("spans"))
     added = more.select(F.col("key").alias("key2"), F.transform("places", lambda x: F.struct(x["start"].alias("start"), F.lit(KINDS.index("term")).alias("k"), x["end"].alias("end"))).alias("more"))
-    joined = rows.join(added, F.col("key") == F.col("key2"), "left")
+    # copies share a key: each key's rows are joined in SALTS parts
+    added = added.withColumn("of", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    joined = rows.withColumn("part", F.pmod(F.xxhash64("d"), F.lit(SALTS))).join(added, (F.col("key") == F.col("key2")) & (F.col("part") == F.col("of")), "left")
     return joined.select(F.col("d").alias("doc_id"), "key", "base", F.when(F.col("more").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "more"))).alias("spans"))
 
 
