@@ -59,6 +59,19 @@ def footprint(items: DataFrame) -> DataFrame:
     return items.groupBy("case_id").agg(F.count("*").alias("symbols"), F.countDistinct("file").alias("files"), F.count_if(F.col("level") == "body").alias("bodies"), F.count_if(F.col("level") == "signature").alias("signatures"), F.sum("tokens").alias("tokens"))
 
 
+def neighborhood_recall(items: DataFrame, gold: DataFrame) -> DataFrame:
+    """(case_id, recall, targets, hits, symbols, tokens): how many of a case's targets its neighborhood holds.
+
+    items(case_id, file, name, tokens), gold(case_id, file, name); a case without targets has recall 1.
+    """
+    size = items.groupBy("case_id").agg(F.count("*").alias("symbols"), F.sum("tokens").alias("tokens"))
+    asked = gold.select("case_id", "file", "name").distinct()
+    held = asked.join(items.select("case_id", "file", "name").distinct().withColumn("hit", F.lit(1)), ["case_id", "file", "name"], "left")
+    hits = held.groupBy("case_id").agg(F.count("*").alias("targets"), F.count("hit").alias("hits"))
+    both = size.join(hits, "case_id", "full").na.fill(0, ["symbols", "tokens", "targets", "hits"])
+    return both.select("case_id", ratio(F.col("hits"), F.col("targets")).alias("recall"), "targets", "hits", "symbols", "tokens")
+
+
 def hit_at(leads: DataFrame, entries: DataFrame, ks: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
     """(case_id, hit_at_k..., shortlist): whether a lead by rank holds an acceptable entry's lines."""
     e = entries.select(F.col("case_id").alias("ec"), F.col("file").alias("ef"), F.col("line").alias("el"), F.coalesce("end_line", "line").alias("ee"))

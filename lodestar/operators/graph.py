@@ -15,6 +15,7 @@ from .ranking import top_in
 
 REVERSE_FAN_IN, SIBLINGS, NESTED, SHARED = 12, 4, 4, 4
 TESTS_PER_LEAD, TESTS_TOTAL, TYPE_USERS, HUB_CALLERS = 3, 4, 3, 25
+SEEN = 256
 SHARED_HUB, SHARED_PER_SYMBOL, SHARED_PER_LEAD, SHARED_SYMBOLS = 40, 3, 6, 8
 CALLS = ("call", "method", "import")
 
@@ -87,6 +88,7 @@ def shared_readers(leads: DataFrame, reads: DataFrame, nodes: DataFrame, hub: in
     narrow = reads.join(sizes.where(F.col("readers") <= hub), "symbol")
     at = nodes.select(F.col("id").alias("n"), F.col("file").alias("f"))
     mine = leads.select(F.col("id").alias("lead_id")).join(narrow.select(F.col("node_id").alias("lead_id"), "symbol"), "lead_id").distinct()
+    mine = top_in(mine, ["lead_id"], ["symbol"], SHARED_SYMBOLS).drop("rank")
     others = mine.join(narrow.select("symbol", F.col("node_id").alias("reader_id")), "symbol").where("reader_id <> lead_id").distinct()
     placed = others.join(at.withColumnsRenamed({"n": "lead_id", "f": "lead_file"}), "lead_id").join(at.withColumnsRenamed({"n": "reader_id", "f": "reader_file"}), "reader_id").withColumn("here", F.col("lead_file") == F.col("reader_file"))
     few = top_in(placed, ["lead_id", "symbol"], ["here", "reader_file", "reader_id"], per_symbol, "in_symbol")
@@ -105,6 +107,26 @@ def hop_distance(leads: DataFrame, targets: DataFrame, edges: DataFrame, most: i
     return targets.select(F.col("id").alias("target_id")).join(seen.withColumnRenamed("node", "target_id"), "target_id", "left")
 
 
+def lead_distance(leads: DataFrame, targets: DataFrame, edges: DataFrame, seen: int = SEEN) -> DataFrame:
+    """(lead_id, distance): steps from each lead to its nearest target over edges either way, null beyond two.
+
+    Of a lead's neighbours, forward ones first, each in order of its edges, those go on that are among the first ``seen`` nodes
+    met, the lead being one. Only edges at nodes that are asked about are followed.
+    """
+    start, goal = leads.select(F.col("id").alias("lead_id")).distinct(), targets.select(F.col("id").alias("node")).distinct()
+
+    def around(at: DataFrame) -> DataFrame:
+        out = at.join(edges.select(F.col("src_id").alias("at"), F.col("dst_id").alias("node"), F.lit(0).alias("back"), "seq"), "at")
+        return out.unionByName(at.join(edges.select(F.col("dst_id").alias("at"), F.col("src_id").alias("node"), F.lit(1).alias("back"), "seq"), "at"))
+
+    near = around(start.withColumn("at", F.col("lead_id"))).where("node <> lead_id").groupBy("lead_id", "node").agg(F.min(F.struct("back", "seq")).alias("met"))
+    on = top_in(near, ["lead_id"], ["met", "node"], seen - 2).select("lead_id", F.col("node").alias("at"))
+    steps = start.select("lead_id", F.col("lead_id").alias("node"), F.lit(0).alias("distance"))
+    steps = steps.unionByName(near.select("lead_id", "node", F.lit(1).alias("distance"))).unionByName(around(on).select("lead_id", "node", F.lit(2).alias("distance")))
+    found = steps.join(goal, "node", "left_semi").groupBy("lead_id").agg(F.min("distance").alias("distance"))
+    return start.join(found, "lead_id", "left")
+
+
 def soft_recall(targets: DataFrame, candidates: DataFrame, edges: DataFrame) -> DataFrame:
     """(target_id, reached): whether a target, or a neighbour of it either way, is a candidate."""
     both = edges.select(F.col("src_id").alias("a"), F.col("dst_id").alias("b")).unionByName(edges.select(F.col("dst_id").alias("a"), F.col("src_id").alias("b")))

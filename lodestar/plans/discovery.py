@@ -102,9 +102,11 @@ def discover(task: str, docs: DataFrame, symbols: DataFrame, edges: DataFrame, j
     graph = edges.groupBy("src_id").agg(F.collect_set("dst_id").alias("near"))
     eligible = leads.where(F.col("score") >= options.min_lead_score).join(graph, F.col("id") == F.col("src_id"), "left")
     test = is_test_file(F.col("file"))
-    ordered = eligible.withColumn("class", F.when(test, 2).when(F.col("type_level"), 1).otherwise(0)).withColumn("graph", F.concat(F.array("id"), F.coalesce("near", F.array().cast("array<string>")))).orderBy("class", F.desc("score"), F.desc("rrf"), "file", "start_line")
-    rows = [r.asDict() | {"line": r["start_line"]} for r in ordered.collect()]  # symbols of at most max_relevant_files files
-    chosen_leads = select.diverse(rows, options.max_leads)
+    ordered = eligible.withColumn("class", F.when(test, 2).when(F.col("type_level"), 1).otherwise(0)).withColumn("graph", F.concat(F.array("id"), F.coalesce("near", F.array().cast("array<string>"))))
+    ordered = ordered.withColumn("task", F.lit(0)).withColumn("line", F.col("start_line"))  # symbols of at most max_relevant_files files
+    by = [F.col("class"), -F.col("score"), -F.col("rrf"), F.col("file"), F.col("line"), F.col("id")]
+    taken = select.diverse(ordered, "task", options.max_leads, by).select(F.col("id").alias("_l"), "place")
+    chosen_leads = [r.asDict() for r in ordered.join(F.broadcast(taken), F.col("id") == F.col("_l")).orderBy("place").drop("_l", "place", "task").collect()]  # max_leads rows
     if not chosen_leads:
         warnings.append("no symbol scored above the threshold")
     return Discovery("complete" if chosen_leads and not warnings else "incomplete", chosen_leads, directories, chosen_files, rescued, candidates, warnings)

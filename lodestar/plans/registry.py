@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scoring, text
 from ..operators import evaluate, graph, inventory, keywords, lexical, ranking, select, usage
 from . import bindings as b
+from .retrieval import rank_pool
 
 TASK = "find worthless trash and pathetic text of src3 in en"
 KEYWORD_TASK = "where is the tionally ething and charset of dreaming"
@@ -269,12 +270,26 @@ def shared_readers(spark, sf_dir):
 
 @query(f"with {EDGES}, b as (select src_id a, dst_id b from e union select dst_id, src_id from e), l as (select 's:' || s_suppkey node from supplier where s_acctbal < 0), h1 as (select distinct b.b node from l join b on b.a = l.node where b.b not in (select node from l)), h2 as (select distinct b.b node from h1 join b on b.a = h1.node where b.b not in (select node from l union select node from h1)) select 'p:' || p_partkey target_id, case when h1.node is not null then 1 when h2.node is not null then 2 else -1 end::int distance from part left join h1 on h1.node = 'p:' || p_partkey left join h2 on h2.node = 'p:' || p_partkey")
 def hop_distance_2(spark, sf_dir):
-    """From suppliers in debt to every part; -1 beyond two steps."""
+    """From suppliers in debt, taken together, to every part; -1 beyond two steps. For each lead: lead_distance_2."""
     leads = _ids(b.table(spark, sf_dir, "supplier").where("s_acctbal < 0"), "s_suppkey", "s")
     found = graph.hop_distance(leads, _ids(b.table(spark, sf_dir, "part"), "p_partkey", "p"), b.edges(spark, sf_dir))
     return found.select("target_id", F.coalesce("distance", F.lit(-1)).alias("distance"))
 
 
+@query(f"""with {EDGES}, l as (select 's:' || s_suppkey lead_id from supplier where s_acctbal < 5000), g as (select 'p:' || p_partkey node from part where p_partkey % 97 = 0 union all select 'o:' || o_orderkey from orders where o_orderkey % 997 = 0),
+ways as (select src_id here, dst_id node, 0 back, seq from e union all select dst_id, src_id, 1, seq from e),
+near as (select lead_id, node, min(struct_pack(back := back, seq := seq)) met from l join ways on here = lead_id where node <> lead_id group by lead_id, node),
+onward as (select lead_id, node here from near qualify row_number() over (partition by lead_id order by met.back, met.seq, node) <= 254),
+steps as (select lead_id, lead_id node, 0 d from l union all select lead_id, node, 1 from near union all select lead_id, node, 2 from onward join ways using (here)),
+f as (select lead_id, min(d) d from steps join g using (node) group by lead_id)
+select lead_id, d::int distance from l left join f using (lead_id)""")
+def lead_distance_2(spark, sf_dir):
+    """From each supplier with a small balance to the nearest of some parts and orders, two steps at most, 256 nodes met."""
+    leads = _ids(b.table(spark, sf_dir, "supplier").where("s_acctbal < 5000"), "s_suppkey", "s")
+    targets = _ids(b.table(spark, sf_dir, "part").where("p_partkey % 97 = 0"), "p_partkey", "p").unionByName(_ids(b.table(spark, sf_dir, "orders").where("o_orderkey % 997 = 0"), "o_orderkey", "o"))
+    return graph.lead_distance(leads, targets, b.edges(spark, sf_dir))
+
+
 @query(f"with {EDGES}, b as (select src_id a, dst_id b from e union select dst_id, src_id from e), c as (select 'o:' || o_orderkey node from orders where o_orderpriority = '1-URGENT') select 'c:' || c_custkey target_id, exists (select 1 from b join c on c.node = b.b where b.a = 'c:' || c_custkey) reached from customer")
 def soft_candidate_recall(spark, sf_dir):
     """Customers with an urgent order."""
@@ -330,22 +345,79 @@ def neighborhood_cap(spark, sf_dir):
     return select.capped_fold(o, "grp", ["p", "key"], "key", "c", "s", BUDGET, most=8).select("grp", "used", "n")
 
 
-@query()
+PLACED = "struct(id varchar, file varchar, lo bigint, hi bigint, fl bigint, br bigint, grows boolean, level varchar)[]"
+IN_BODY = "len(list_filter(placed, lambda z: z.level = 'body' and z.file = t.file and z.lo <= t.lo and z.hi >= t.hi)) > 0"
+BACK = "list_sum(list_concat([0::bigint], list_transform(list_filter(placed, lambda z: z.level = 'body' and z.file = t.file and t.lo <= z.lo and t.hi >= z.hi), lambda z: z.fl)))::bigint"
+#: The same two passes, a step of recursion for each item.
+ALLOCATION = f"""with recursive it as (select o_custkey task, 'o:' || o_orderkey id, o_orderstatus file, o_orderkey % 50 lo, o_orderkey % 50 + o_orderkey % 7 hi, floor(o_totalprice / 100)::bigint fl, floor(o_totalprice / 1000)::bigint br, o_orderkey % 3 depth, o_orderkey % 11 = 0 outl,
+  row_number() over (partition by o_custkey order by o_totalprice / 1e6 desc, o_orderkey % 3, 'o:' || o_orderkey) k from orders),
+walk as (select distinct task, 0::bigint k, 0::bigint used, []::{PLACED} placed from it
+ union all select task, k, used + case level when 'body' then fl - back when 'signature' then br else 0 end,
+  list_concat(list_transform(placed, lambda z: struct_pack(id := z.id, file := z.file, lo := z.lo, hi := z.hi, fl := z.fl, br := z.br, grows := z.grows, level := case when u.level = 'body' and z.level = 'body' and z.file = u.file and u.lo <= z.lo and u.hi >= z.hi then 'covered' else z.level end)),
+   [struct_pack(id := id, file := file, lo := lo, hi := hi, fl := fl, br := br, grows := not (depth = 1 and outl and fl > 800), level := level)])
+  from (select *, case when inside then 'covered' when not (depth = 1 and outl and fl > 800) and used - back + fl <= 4000 then 'body' when used + br <= 4000 then 'signature' else 'omitted' end as level
+   from (select t.*, w.used, w.placed, {IN_BODY} inside, {BACK} back from walk w join it t on t.task = w.task and t.k = w.k + 1) v) u),
+n as (select task, max(k) n from walk group by task), one as (select w.* from walk w join n on n.task = w.task and n.n = w.k),
+grow as (select task, 0::bigint k, used, placed from one
+ union all select task, k, used + case when fits then t.fl - t.br else 0 end,
+  list_transform(placed, lambda z: struct_pack(id := z.id, file := z.file, lo := z.lo, hi := z.hi, fl := z.fl, br := z.br, grows := z.grows, level := case when fits and z.id = v.t.id then 'body' else z.level end))
+  from (select *, t.level = 'signature' and t.grows and used + t.fl - t.br <= 4000 and len(list_filter(placed, lambda z: z.level = 'body' and z.file = t.file and ((z.lo <= t.lo and z.hi >= t.hi) or (t.lo <= z.lo and t.hi >= z.hi)))) = 0 fits
+   from (select g.task, g.k + 1 k, g.used, g.placed, o.placed[g.k + 1] t from grow g join one o on o.task = g.task where g.k < len(g.placed)) r) v)
+select task, e.id, k::int place, e.level as level, used from (select g.task, g.used, unnest(g.placed) e, unnest(generate_series(1, len(g.placed))) k from grow g join n on n.task = g.task and n.n = g.k)"""
+
+
+def _order_items(spark, sf_dir):
+    o, key = b.table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    return o.select(F.col("o_custkey").alias("task"), F.concat(F.lit("o:"), key).alias("id"), F.col("o_orderstatus").alias("file"), (key % 50).alias("start_line"), (key % 50 + key % 7).alias("end_line"), F.floor(F.col("o_totalprice") / 100).alias("body_tokens"), F.floor(F.col("o_totalprice") / 1000).alias("signature_tokens"), (key % 3).alias("depth"), (F.col("o_totalprice") / 1e6).alias("structural"), (F.col("o_totalprice") / 1e6).alias("final"), F.lit(False).alias("external"), (key % 11 == 0).alias("outline"))
+
+
+@query(ALLOCATION)
 def budget_alloc_two_pass(spark, sf_dir):
-    """Bodies and signatures of each customer's orders; tested on small cases."""
-    o = b.table(spark, sf_dir, "orders")
-    key = F.col("o_orderkey")
-    items = o.select(F.col("o_custkey").alias("task"), F.concat(F.lit("o:"), key).alias("id"), F.col("o_orderstatus").alias("file"), (key % 50).alias("start_line"), (key % 50 + key % 7).alias("end_line"), F.floor(F.col("o_totalprice") / 100).alias("body_tokens"), F.floor(F.col("o_totalprice") / 1000).alias("signature_tokens"), (key % 3).alias("depth"), (F.col("o_totalprice") / 1e6).alias("structural"), (F.col("o_totalprice") / 1e6).alias("final"), F.lit(False).alias("external"), (key % 11 == 0).alias("outline"))
-    return select.allocate_all(items, "task", BUDGET)
-
-
-@query()
+    """Bodies and signatures of each customer's orders."""
+    return select.allocate(_order_items(spark, sf_dir), "task", BUDGET)
+
+
+FEW = "struct(id bigint, file varchar, said varchar, graph bigint[], score double)[]"
+LEADS = """g as (select l_orderkey, list(distinct l_partkey) graph from lineitem group by l_orderkey),
+it as (select o_custkey task, o_orderkey id, o_orderstatus file, o_orderpriority || chr(10) || strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') said, graph, o_totalprice / 500000 score, row_number() over (partition by o_custkey order by (o_orderstatus = 'F')::int, o_totalprice / 500000 desc, o_orderstatus, o_orderkey) k
+ from orders join g on o_orderkey = l_orderkey)"""
+ALIKE = "z.said = t.said or len(list_intersect(z.graph, t.graph)) >= 0.5 * least(len(z.graph), len(t.graph))"
+#: A step of recursion for each lead; what waits comes back first.
+DIVERSITY = f"""with recursive {LEADS},
+walk as (select distinct task, 0::bigint k, []::{FEW} taken, []::{FEW} waiting from it
+ union all select task, k, case when len(back) >= 4 or alike then back else list_append(back, x) end, case when len(back) < 4 and alike then list_append(rest, x) else rest end
+ from (select task, k, back, rest, x, len(list_filter(back, lambda z: {ALIKE.replace('t.', 'x.')})) > 0 alike
+  from (select task, k, x, list_concat(taken, waiting[1:ahead]) back, waiting[ahead + 1:] rest
+   from (select t.task, t.k, w.taken, w.waiting, struct_pack(id := t.id, file := t.file, said := t.said, graph := t.graph, score := t.score) x,
+     least(4 - len(w.taken), coalesce(list_position(list_transform(w.waiting, lambda z: z.score - t.score > 0.1), false) - 1, len(w.waiting))) ahead
+    from walk w join it t on t.task = w.task and t.k = w.k + 1) a) c) d),
+n as (select task, max(k) n from walk group by task),
+done as (select w.task, list_concat(taken, waiting[1:greatest(0, 2 - len(taken))]) taken from walk w join n on n.task = w.task and n.n = w.k)
+select task, e.id, k::int place, e.score from (select task, unnest(taken) e, unnest(generate_series(1, len(taken))) k from done)"""
+
+
+@query(DIVERSITY)
 def diversity_leads(spark, sf_dir):
-    """Of each customer's orders four that differ by their parts; tested on small cases."""
+    """Of each customer's orders four that differ by their parts."""
     parts = b.table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_partkey").alias("graph"))
     o = b.table(spark, sf_dir, "orders").join(parts, F.col("o_orderkey") == F.col("l_orderkey"))
-    leads = o.select(F.col("o_custkey").alias("task"), F.col("o_orderkey").alias("id"), (F.col("o_orderstatus") == "F").cast("int").alias("class"), F.col("o_orderstatus").alias("file"), F.col("o_orderkey").alias("line"), F.col("o_orderpriority").alias("name"), F.col("o_orderdate").cast("string").alias("signature"), (F.col("o_totalprice") / 500000).alias("score"), "graph")
-    return select.diverse_all(leads, "task")
+    leads = o.select(F.col("o_custkey").alias("task"), F.col("o_orderkey").alias("id"), (F.col("o_orderstatus") == "F").cast("int").alias("class"), F.col("o_orderstatus").alias("file"), F.col("o_orderkey").alias("line"), F.col("o_orderpriority").alias("name"), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("signature"), (F.col("o_totalprice") / 500000).alias("score"), "graph")
+    return select.diverse(leads, "task")
+
+
+@query("""with e as (select o_custkey task, l_suppkey lead, l_suppkey % 5 place, l_orderkey * 10 + l_linenumber as rk, case when l_linenumber % 3 = 0 then 'test' else 'caller' end kind, l_suppkey % 4 = 0 typed from lineitem join orders on l_orderkey = o_orderkey),
+c as (select *, typed or count(*) over (partition by task, place, lead) > 2 narrow from e), f as (select * from c where not (kind = 'test' and narrow)),
+p as (select *, row_number() over (partition by task, place, lead, kind order by rk) r from f), q as (select * from p where kind <> 'test' or r <= 1),
+s as (select *, row_number() over (partition by task, kind order by place, lead, rk) a from q), w as (select * from s where kind <> 'test' or a <= 4),
+x as (select *, row_number() over (partition by task, place, lead order by rk) i from w), y as (select * from x where i <= 2),
+z as (select *, row_number() over (partition by task, narrow order by place, lead, rk) j from y)
+select task, lead, rk, kind from z where not narrow or j <= 3""")
+def caller_quota(spark, sf_dir):
+    """Of the suppliers of a customer's items, tests and users within their limits."""
+    items = b.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber").join(b.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    supplier, line = F.col("l_suppkey"), F.col("l_linenumber")
+    e = items.select(F.col("o_custkey").alias("task"), supplier.alias("lead"), (supplier % 5).alias("place"), (F.col("l_orderkey") * 10 + line).alias("rank"), F.when(line % 3 == 0, "test").otherwise("caller").alias("kind"), (supplier % 4 == 0).alias("typed"))
+    return select.caller_quota(e, "task", per_lead=1, fan_in=2, hub=2).select("task", "lead", F.col("rank").alias("rk"), "kind")
 
 
 # --- evaluation against labels -------------------------------------------------------------------------------------------
@@ -557,12 +629,12 @@ def judge_join_default(spark, sf_dir):
     return d.select("doc_id", scoring.valid_score(F.col("q")).alias("score"), F.col("q").isNull().cast("int").alias("invalid"))
 
 
-@query(f"with {ITEM} select doc_id, case when quality is null then score else round(0.7 * quality + 0.3 * score, 9) end final from i where quality is null or 0.7 * quality + 0.3 * score >= 0.3")
+@query(f"with {ITEM} select doc_id, case when quality is null then score else round(0.7 * quality + 0.3 * score, 9) end final from i where quality is null or quality >= 0.3")
 def blend_floor(spark, sf_dir):
-    """Rows without an answer keep their structural score and stay."""
-    i = b.scored_items(spark, sf_dir).withColumn("answer", F.col("quality").cast("double"))
-    final = scoring.blend(F.col("answer"), F.col("score"))
-    return i.where(F.col("answer").isNull() | (final >= 0.3)).select("doc_id", F.when(F.col("answer").isNull(), F.col("score")).otherwise(F.round(final, 9)).alias("final"))
+    """The floor is on the answer; rows without one keep their structural score and stay."""
+    i = b.scored_items(spark, sf_dir).select(F.col("doc_id").alias("node_id"), F.col("score").alias("structural"), F.array().cast("array<string>").alias("sources"), F.col("quality").cast("double").alias("q"))
+    kept = rank_pool(i.drop("q"), i.select("node_id", F.col("q").alias("answer")), 0.3)
+    return kept.select(F.col("node_id").alias("doc_id"), F.when(F.col("answer").isNull(), F.col("final")).otherwise(F.round("final", 9)).alias("final"))
 
 
 @query("with r as (select doc_id, source, row_number() over (partition by source order by n_chars desc, doc_id) - 1 r, count(*) over (partition by source) n from documents) select doc_id, round(0.8 - 0.4 * case when n <= 1 then 0 else r / (n - 1) end, 9) prior from r")

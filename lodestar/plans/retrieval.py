@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring
-from ..functions.text import query_terms, words_of
+from ..functions.text import is_test_file, query_terms, words_of
 from ..operators import graph, inventory, select
 from .discovery import Discovery, discover
 from .discovery import Options as DiscoveryOptions
@@ -40,64 +40,124 @@ class Options:
             raise ValueError("omit must not be over body")
 
 
-def neighborhood(leads: DataFrame, nodes: DataFrame, edges: DataFrame, terms: list[str], options: Options) -> DataFrame:
-    """(lead_id, place, node_id, kind, depth, via, site_text, structural, task_score): all that the leads reach.
+OUTSIDE_FIRST = 2000
+POOL = "lead_id node_id kind depth via site_text structural task_score part".split()
 
-    leads(id, place). Targets inside their lead are left out, but for callers.
+
+def _none(kind: str = "string"):
+    return F.lit(None).cast(kind)
+
+
+def neighborhood(leads: DataFrame, nodes: DataFrame, edges: DataFrame, terms: list[str], options: Options, reads: DataFrame | None = None) -> DataFrame:
+    """POOL columns of all that the leads reach, best first in a lead by (structural, task_score, node_id).
+
+    leads(id, place, typed); reads(node_id, symbol). What the lead uses, its callers within their quotas, what same-file callers
+    use beside it, what callers pass into it, others that read what it reads, and callees of its callees. Targets inside their
+    lead are left out, but for callers.
     """
-    fw = graph.forward(leads, edges).select("lead_id", F.col("dst_id").alias("node_id"), "kind", F.lit(1).alias("depth"), F.lit(None).cast("string").alias("via"), "site_text", F.lit(0).alias("part"))
-    rv = graph.reverse_top(leads, edges, nodes, terms, options.reverse_fan_in)
-    back = rv.select("lead_id", F.col("src_id").alias("node_id"), F.when(F.col("kind").isin("call", "method", "import", "new", "jsx"), "caller").otherwise(F.col("kind")).alias("kind"), F.lit(1).alias("depth"), F.lit(None).cast("string").alias("via"), "site_text", F.lit(1).alias("part"))
-    sb = graph.siblings(leads, edges, nodes).select("lead_id", F.col("sibling_id").alias("node_id"), F.lit("sibling").alias("kind"), F.lit(2).alias("depth"), F.lit(None).cast("string").alias("via"), F.lit("").alias("site_text"), F.lit(2).alias("part"))
-    nc = graph.nested_callees(leads, edges, nodes, terms).select("lead_id", F.col("callee_id").alias("node_id"), F.lit("call").alias("kind"), F.lit(2).alias("depth"), "via", F.lit("").alias("site_text"), F.lit(3).alias("part"))
-    found = fw.unionByName(back).unionByName(sb).unionByName(nc)
+    edges = edges if "symbol" in edges.columns else edges.withColumn("symbol", _none())
+
+    def found(df, node, kind, part, depth=1, via=None, site=None):
+        return df.select("lead_id", F.col(node).alias("node_id"), kind.alias("kind"), F.lit(depth).alias("depth"), (_none() if via is None else F.col(via)).alias("via"), (F.lit("") if site is None else F.col(site)).alias("site_text"), F.lit(part).alias("part"))
+
+    forward = found(graph.forward(leads, edges.where("kind <> 'argument'")), "dst_id", F.col("kind"), 0, site="site_text")
+    named = graph.reverse(leads, edges.where("kind <> 'argument'")).join(nodes.select(F.col("id").alias("src_id"), "name", "file"), "src_id")
+    used = F.when((F.col("kind") == "test") | is_test_file(F.col("file")), "test").when(F.col("kind").isin(*graph.CALLS, "new", "jsx"), "caller").otherwise(F.col("kind"))
+    ranked = graph.top_in(named.withColumns({"kind": used, "task_score": graph.task_score(terms, "name", "file", "site_text")}), ["lead_id"], [F.desc("task_score"), F.desc(scoring.edge_prior(F.col("kind"))), "src_id"], 1 << 30)
+    quota = ranked.join(leads.select(F.col("id").alias("lead_id"), "place", "typed"), "lead_id").withColumn("task", F.lit(0)).withColumn("lead", F.col("lead_id"))
+    callers = found(select.caller_quota(quota, "task", fan_in=options.reverse_fan_in), "src_id", F.col("kind"), 1, site="site_text")
+    parts = [
+        forward,
+        callers,
+        found(graph.siblings(leads, edges, nodes), "sibling_id", F.lit("sibling"), 2, depth=2),
+        found(graph.argument_sources(leads, edges), "source_id", F.lit("argument"), 3),
+        found(graph.nested_callees(leads, edges, nodes, terms), "callee_id", F.lit("call"), 5, depth=2, via="via"),
+    ]
+    if reads is not None:
+        shared = graph.shared_readers(leads, reads, nodes).join(nodes.select(F.col("id").alias("reader_id"), "name", "file"), "reader_id").withColumnRenamed("rank", "seen")
+        best = graph.top_in(shared.withColumn("score", graph.task_score(terms, "name", "file")), ["lead_id"], [F.desc("score"), "seen"], graph.SHARED)
+        parts.append(found(best, "reader_id", F.lit("shared"), 4))
+    whole = parts[0]
+    for more in parts[1:]:
+        whole = whole.unionByName(more)
     at, of = graph.located(nodes, "lead"), graph.located(nodes, "node")
-    outside = found.join(at, "lead_id").join(of, "node_id").where(~graph.inside("node", "lead") | (F.col("part") == 1))
-    named = outside.join(nodes.select(F.col("id").alias("node_id"), "name", "file"), "node_id")
-    scored = named.withColumn("task_score", graph.task_score(terms, "name", "file", "site_text"))
+    outside = whole.join(at, "lead_id").join(of, "node_id").where(~graph.inside("node", "lead") | (F.col("part") == 1))
+    scored = outside.join(nodes.select(F.col("id").alias("node_id"), "name", "file"), "node_id").withColumn("task_score", graph.task_score(terms, "name", "file", "site_text"))
     prior = F.when(F.col("via").isNotNull(), scoring.NESTED_PRIOR).otherwise(scoring.edge_prior(F.col("kind")))
-    return scored.withColumn("structural", prior).select("lead_id", "node_id", "kind", "depth", "via", "site_text", "structural", "task_score", "part")
+    return scored.withColumn("structural", prior).select(*POOL)
+
+
+def capped_neighborhood(near: DataFrame, own: DataFrame, costs: DataFrame, options: Options) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``own`` and ``near`` that stay within each lead's bounds, and the ids of the nodes within the bound of all.
+
+    A lead is charged first, then what it reaches, best first: a body if it fits, else a signature. Merged over the leads, the
+    nodes are charged again in the same way against ``neighborhood_factor`` budgets.
+    """
+    charged = near.join(costs, "node_id").join(costs.select(F.col("node_id").alias("lead_id"), F.col("body_tokens").alias("lead_tokens")), "lead_id")
+    order = charged.withColumns({"o1": -F.col("structural"), "o2": -F.col("task_score")})
+    kept = select.capped_fold(order, "lead_id", ["o1", "o2", "node_id"], "node_id", "body_tokens", "signature_tokens", options.token_budget, most=options.per_lead_nodes, start_used="lead_tokens", start_rows=1)
+    ids = kept.select("lead_id", F.explode("ids").alias("node_id"))
+    rows = own.unionByName(near.join(ids, ["lead_id", "node_id"], "left_semi").select(own.columns))
+    merged = rows.groupBy("node_id").agg((-F.max("structural")).alias("o1"), F.min("depth").alias("o2")).join(costs, "node_id").withColumn("all", F.lit(0))
+    total = select.capped_fold(merged, "all", ["o1", "o2", "node_id"], "node_id", "body_tokens", "signature_tokens", options.neighborhood_factor * options.token_budget)
+    return rows, total.select(F.explode("ids").alias("node_id"), F.col("used").alias("capped_tokens"))
+
 
+def rank_pool(pool: DataFrame, answers: DataFrame, min_relevance: float) -> DataFrame:
+    """``pool`` with answer and final, without what the answers say is unrelated; leads and what has no answer stay.
+
+    answers(node_id, answer). The floor is on the answer itself, whatever the structure says.
+    """
+    told = pool.join(answers, "node_id", "left")
+    lead = F.array_contains("sources", "semantic-lead")
+    kept = told.where(lead | F.col("answer").isNull() | (F.col("answer") >= min_relevance))
+    return kept.withColumn("final", scoring.blend(F.col("answer"), F.col("structural")))
 
-def retrieve(task: str, docs: DataFrame, nodes: DataFrame, edges: DataFrame, judge: Judge, options: Options = Options(), finding: DiscoveryOptions = DiscoveryOptions(), found: Discovery | None = None) -> tuple[Discovery, list[dict]]:
-    """The discovery and the context, best first; nodes as in ``graph`` with type_level. Pools are a few dozen rows."""
+
+def retrieve(task: str, docs: DataFrame, nodes: DataFrame, edges: DataFrame, judge: Judge, options: Options = Options(), finding: DiscoveryOptions = DiscoveryOptions(), found: Discovery | None = None, reads: DataFrame | None = None, outside_first: bool = False, stats: dict | None = None) -> tuple[Discovery, list[dict]]:
+    """The discovery and the context, best first; nodes as in ``graph`` with type_level. Pools are a few dozen rows.
+
+    ``outside_first``: the task's words are mostly in files that aren't code, so code gets a smaller budget. ``stats`` is filled
+    with the sizes of the neighborhood and of the pool.
+    """
     spark, terms = docs.sparkSession, query_terms(task)
     found = found or discover(task, docs, nodes, edges, judge, options=finding)
     if not found.leads:
         return found, []
+    budget = min(options.token_budget, OUTSIDE_FIRST) if outside_first else options.token_budget
     size = lambda c: F.ceil(F.length(c) / 4).cast("long")
     costs = nodes.select(F.col("id").alias("node_id"), F.when(F.col("external"), size("signature")).otherwise(size("source")).alias("body_tokens"), size("signature").alias("signature_tokens"))
-    leads = spark.createDataFrame([(x["id"], k, float(x["score"])) for k, x in enumerate(found.leads)], "id string, place int, score double")
-    own = leads.select(F.col("id").alias("lead_id"), F.col("id").alias("node_id"), F.lit(None).cast("string").alias("kind"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("via"), F.lit(None).cast("string").alias("site_text"), F.lit(1.0).alias("structural"), F.lit(0).alias("task_score"), F.lit(-1).alias("part"))
+    leads = spark.createDataFrame([(x["id"], k, bool(x.get("type_level"))) for k, x in enumerate(found.leads)], "id string, place int, typed boolean")
+    own = leads.select(F.col("id").alias("lead_id"), F.col("id").alias("node_id"), _none().alias("kind"), F.lit(0).alias("depth"), _none().alias("via"), _none().alias("site_text"), F.lit(1.0).alias("structural"), F.lit(0).alias("task_score"), F.lit(-1).alias("part"))
     reached = own
     if options.expand:
-        near = neighborhood(leads, nodes, edges, terms, options).join(costs, "node_id")
-        near = near.join(leads.select(F.col("id").alias("lead_id")).join(costs.select(F.col("node_id").alias("lead_id"), F.col("body_tokens").alias("lead_tokens")), "lead_id"), "lead_id")
-        # the lead is charged first: its tokens come off the budget of its neighbours
-        order = near.withColumns({"o1": -F.col("structural"), "o2": -F.col("task_score"), "charge": F.col("body_tokens")})
-        kept = select.capped_fold(order, "lead_id", ["o1", "o2", "node_id"], "node_id", "charge", "signature_tokens", options.token_budget, most=options.per_lead_nodes, start_rows=1)
-        ids = kept.select("lead_id", F.explode("ids").alias("node_id"))
-        reached = own.unionByName(near.join(ids, ["lead_id", "node_id"], "left_semi").select(own.columns))
+        near = neighborhood(leads, nodes, edges, terms, options, reads)
+        rows, within = capped_neighborhood(near, own, costs, options)
+        reached = rows.join(within.select("node_id"), "node_id", "left_semi").select(own.columns)
+        if stats is not None:
+            raw = own.select("node_id").unionByName(near.select("node_id")).distinct().join(costs, "node_id").agg(F.count("*").alias("n"), F.sum("body_tokens").alias("t")).first()
+            capped = within.agg(F.count("*").alias("n"), F.max("capped_tokens").alias("t")).first()
+            per_lead = near.count() - rows.count() + own.count()
+            stats |= {"raw_symbols": raw["n"], "raw_tokens": raw["t"], "capped_symbols": capped["n"], "capped_tokens": capped["t"], "per_lead_pruned": per_lead, "total_pruned": rows.select("node_id").distinct().count() - capped["n"]}
     if options.merge_lexical and options.lexical_merge:
         from ..operators import lexical
 
         top = found.candidates.withColumn("r", F.row_number().over(Window.orderBy(*lexical.order()))).where(F.col("r") <= options.lexical_merge)  # at most max_candidates rows
         prior = scoring.lexical_prior(F.col("r") - 1, F.count("*").over(Window.partitionBy()))
-        hints = top.select(F.lit(None).cast("string").alias("lead_id"), F.col("id").cast("string").alias("node_id"), F.lit("lexical").alias("kind"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("via"), F.lit(None).cast("string").alias("site_text"), prior.alias("structural"), F.lit(0).alias("task_score"), F.lit(9).alias("part"))
+        hints = top.select(_none().alias("lead_id"), F.col("id").cast("string").alias("node_id"), F.lit("lexical").alias("kind"), F.lit(0).alias("depth"), _none().alias("via"), _none().alias("site_text"), prior.alias("structural"), F.lit(0).alias("task_score"), F.lit(9).alias("part"))
         reached = reached.unionByName(hints.join(nodes.select(F.col("id").alias("node_id")), "node_id", "left_semi").select(own.columns))
     seq = F.struct(F.coalesce("lead_id", F.lit("~")).alias("l"), "part", "node_id", "kind")
-    pool = graph.merge_nodes(reached.withColumn("seq", seq).withColumn("source", F.when(F.col("kind") == "lexical", "lexical").when(F.col("depth") == 0, "semantic-lead").otherwise("compiler")).withColumn("semantic", F.lit(None).cast("double")))
+    pool = graph.merge_nodes(reached.withColumn("seq", seq).withColumn("source", F.when(F.col("kind") == "lexical", "lexical").when(F.col("depth") == 0, "semantic-lead").otherwise("compiler")).withColumn("semantic", _none("double")))
     pool = pool.join(costs, "node_id").join(nodes.withColumnRenamed("id", "node_id"), "node_id").withColumn("id", F.col("node_id"))
     total = pool.agg(F.sum("body_tokens")).first()[0] or 0
-    if options.rerank and total > options.token_budget:
-        told = judge.scores(task, "rank", pool).select(F.col("id").alias("_i"), F.col("score").alias("answer"))
-        pool = pool.join(told, F.col("id") == F.col("_i"), "left").withColumn("final", scoring.blend(F.col("answer"), F.col("structural")))
-        lead = F.array_contains("sources", "semantic-lead")
-        pool = pool.where(lead | F.col("answer").isNull() | (F.col("final") >= options.min_relevance))
+    if options.rerank and total > budget:
+        support = graph.supporting_context(pool.select("id"), edges, nodes).groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("rank", "node_id"))).alias("s"))
+        asked = pool.join(support.select(F.col("item_id").alias("id"), F.transform("s", lambda x: x["node_id"]).alias("support")), "id", "left")
+        pool = rank_pool(pool, judge.scores(task, "rank", asked).select(F.col("id").alias("node_id"), F.col("score").alias("answer")), options.min_relevance)
     else:
         pool = pool.withColumn("final", F.col("structural"))
-    rows = [r.asDict() for r in pool.collect()]  # bounded by leads, per-lead nodes and lexical hints
-    return found, select.allocate(rows, options.token_budget)
+    levels = select.allocate(pool.withColumn("task", F.lit(0)), "task", budget).drop("task")
+    return found, [r.asDict() for r in pool.join(levels, "id").orderBy("place").collect()]  # bounded by leads, per-lead nodes and lexical hints
 
 
 def from_entry(entry_id: str, task: str, nodes: DataFrame, edges: DataFrame, judge: Judge, options: Options = Options(), wrappers: bool = True) -> list[dict]:

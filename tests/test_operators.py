@@ -83,32 +83,53 @@ def item(i, lo, hi, body, sig, final, **more):
     return {"id": i, "file": "f", "start_line": lo, "end_line": hi, "body_tokens": body, "signature_tokens": sig, "depth": 1, "structural": final, "final": final, "external": False, "outline": False} | more
 
 
-def test_allocate_covers_and_refunds():
-    got = {x["id"]: x["level"] for x in select.allocate([item("inner", 5, 8, 40, 5, 0.9), item("outer", 1, 20, 90, 9, 0.8), item("late", 30, 40, 200, 10, 0.7)], 100)}
+ITEM = "id string, file string, start_line long, end_line long, body_tokens long, signature_tokens long, depth int, structural double, final double, external boolean, outline boolean, g int"
+
+
+def levels(spark, items, budget):
+    names = [c.split()[0] for c in ITEM.split(", ")]
+    df = spark.createDataFrame([tuple((x | {"g": 0})[n] for n in names) for x in items], ITEM)
+    return {r["id"]: r["level"] for r in select.allocate(df, "g", budget).collect()}
+
+
+def test_allocate_covers_and_refunds(spark):
+    got = levels(spark, [item("inner", 5, 8, 40, 5, 0.9), item("outer", 1, 20, 90, 9, 0.8), item("late", 30, 40, 200, 10, 0.7)], 100)
     assert got == {"inner": "covered", "outer": "body", "late": "signature"}
+    assert levels(spark, [item("outer", 1, 20, 90, 9, 0.9), item("inner", 5, 8, 40, 5, 0.8), item("x", 50, 60, 30, 30, 0.1)], 100) == {"outer": "body", "inner": "covered", "x": "omitted"}
 
 
-def test_allocate_second_pass_and_outline():
-    got = {x["id"]: x["level"] for x in select.allocate([item("big", 1, 9, 95, 10, 0.9, outline=True), item("cls", 10, 90, 900, 20, 0.8, outline=True), item("ext", 95, 99, 10, 5, 0.7, external=True)], 200)}
+def test_allocate_second_pass_and_outline(spark):
+    got = levels(spark, [item("big", 1, 9, 95, 10, 0.9, outline=True), item("cls", 10, 90, 900, 20, 0.8, outline=True), item("ext", 95, 99, 10, 5, 0.7, external=True)], 200)
     assert got == {"big": "body", "cls": "signature", "ext": "signature"}
+    # what is wrapped gives its tokens back, so a signature from before can grow
+    assert levels(spark, [item("a", 5, 8, 60, 5, 0.9), item("b", 30, 39, 50, 10, 0.8), item("c", 1, 20, 40, 4, 0.7)], 100) == {"a": "covered", "b": "body", "c": "body"}
 
 
 def lead(n, score, graph, line=0, name=None):
     return {"id": n, "file": n, "line": line, "name": name or n, "signature": n, "score": score, "graph": graph}
 
 
-def test_diverse_leads():
+def chosen(spark, leads, most=4):
+    df = spark.createDataFrame([(0, x["id"], 0, x["file"], x["line"], x["name"], x["signature"], x["score"], x["graph"]) for x in leads], "g int, id string, class int, file string, line int, name string, signature string, score double, graph array<string>")
+    return [r["id"] for r in select.diverse(df, "g", most).orderBy("place").collect()]
+
+
+def test_diverse_leads(spark):
     a, b, c, d = lead("a", 0.9, ["a", "x", "y"]), lead("b", 0.88, ["b", "x", "y"]), lead("c", 0.7, ["c", "z"]), lead("d", 0.5, ["d"])
-    assert [x["id"] for x in select.diverse([a, b, c, d])] == ["a", "b", "c", "d"]  # b comes back before the weaker c
-    assert [x["id"] for x in select.diverse([a, b])] == ["a", "b"]
+    assert chosen(spark, [a, b, c, d]) == ["a", "b", "c", "d"]  # b comes back before the weaker c
+    assert chosen(spark, [a, b]) == ["a", "b"]
     near = lead("e", 0.85, ["e", "z", "x"])
-    assert [x["id"] for x in select.diverse([a, b, near, d], most=2)] == ["a", "e"]
+    assert chosen(spark, [a, b, near, d], most=2) == ["a", "e"]
+    same = lead("f", 0.89, ["q"], name="a") | {"signature": " a "}
+    assert chosen(spark, [a, same, near]) == ["a", "e"]
 
 
-def test_test_quota():
-    e = lambda lead, kind, k, typed=False: {"lead": lead, "kind": kind, "id": k, "typed": typed}
-    got = select.test_quota([*[e("l1", "test", k) for k in range(5)], e("l1", "caller", 9), *[e("l2", "test", k) for k in range(20, 23)], *[e("l3", "caller", k, True) for k in range(30, 36)]])
-    assert [x["id"] for x in got] == [0, 1, 2, 9, 20, 30, 31, 32]
+def test_caller_quota(spark):
+    e = lambda lead, kind, k, typed=False: (0, lead, int(lead[1]), k, kind, k, typed)
+    df = spark.createDataFrame([*[e("l1", "test", k) for k in range(5)], e("l1", "caller", 9), *[e("l2", "test", k) for k in range(20, 23)], *[e("l3", "caller", k, True) for k in range(30, 36)], e("l3", "test", 36, True), *[e("l4", "caller", k) for k in range(40, 67)]], "task int, lead string, place int, rank int, kind string, id int, typed boolean")
+    got = select.caller_quota(df, "task")
+    assert [r["id"] for r in got.orderBy("place", "rank").collect()] == [0, 1, 2, 9, 20, 30, 31, 32]  # l4 is a hub, and l3 took what narrow leads share
+    assert [r["id"] for r in select.caller_quota(df.where("lead = 'l4'"), "task", hub=30).collect()] == list(range(40, 52))
 
 
 def _graph(spark):
@@ -129,6 +150,21 @@ def test_hops(spark):
     assert rows(graph.soft_recall(spark.createDataFrame([("x",), ("c",)], "id string"), spark.createDataFrame([("d",)], "id string"), e), "target_id", "reached") == [("c", False), ("x", True)]
 
 
+def test_lead_distance(spark):
+    n, e = _graph(spark)
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id string")
+    assert dict(rows(graph.lead_distance(ids("a", "b", "x", "c"), ids("b", "d"), e), "lead_id", "distance")) == {"a": 1, "b": 0, "x": 1, "c": 2}
+    assert dict(rows(graph.lead_distance(ids("c"), ids("x"), e), "lead_id", "distance")) == {"c": None}
+    assert dict(rows(graph.lead_distance(ids("a"), ids("d"), e, seen=2), "lead_id", "distance")) == {"a": None}  # only the lead is expanded
+
+
+def test_neighborhood_recall(spark):
+    items = spark.createDataFrame([(1, "f", "a", 10), (1, "f", "b", 5)], "case_id int, file string, name string, tokens int")
+    gold = spark.createDataFrame([(1, "f", "a"), (1, "g", "c"), (2, "f", "a")], "case_id int, file string, name string")
+    got = {r["case_id"]: (r["recall"], r["hits"], r["tokens"]) for r in evaluate.neighborhood_recall(items, gold).collect()}
+    assert got == {1: (0.5, 1, 15), 2: (0.0, 0, 0)}
+
+
 def test_shared_readers_skip_hubs(spark):
     n = spark.createDataFrame([(f"n{k}", f"file{k % 3}") for k in range(60)] + [("lead", "file0")], "id string, file string")
     reads = [(f"n{k}", "HUB") for k in range(46)] + [("lead", "HUB"), ("lead", "DEBUG"), ("n50", "DEBUG"), ("n51", "DEBUG")]
