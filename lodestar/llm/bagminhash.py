@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, doc_key, row_order, small, unused
+from .common import WORD, cut, doc_key, row_order, small, told, unused
 from .quality import Words
 
 SHINGLE, SIMILAR = 5, 0.8
@@ -161,8 +161,7 @@ def grouped(docs: DataFrame, similar: float = SIMILAR) -> tuple[DataFrame, DataF
     banded = keyed.mapInArrow(_reader(_bands), "doc_id long, node long, k2 long, made array<long>")
     nodes = cut(banded.groupBy("node", "k2").agg(F.min("doc_id").alias("doc_id"), F.first("made").alias("bands")))
     rows = nodes.select("node", F.explode("bands").alias("key"))
-    hubs = rows.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    held = cut(rows.join(hubs, "key"))
+    held = cut(told(rows, ["key"], ["node"], F.col("node")).withColumnRenamed("first", "hub"))
     pairs = held.where("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("shared"))
     pairs = cut(pairs.select("node", "hub"))
 
@@ -177,11 +176,11 @@ def grouped(docs: DataFrame, similar: float = SIMILAR) -> tuple[DataFrame, DataF
             yield pa.RecordBatch.from_arrays([b.column("node"), b.column("hub"), pa.array(near, pa.bool_())], ["node", "hub", "near"])
 
     both = pairs.join(sets, "node").join(sets.select(F.col("node").alias("hub"), F.col("bag").alias("other")), "hub")
-    told = cut(both.select("node", "hub", "bag", "other").mapInArrow(verify, "node long, hub long, near boolean"))
-    found = told.where("near").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    verified = cut(both.select("node", "hub", "bag", "other").mapInArrow(verify, "node long, hub long, near boolean"))
+    found = verified.where("near").select(F.col("node").alias("a"), F.col("hub").alias("b"))
     labels = components(found)
     of = lambda name: labels.select(F.col("node").alias(name), F.col("label").alias(f"{name}_in"))
-    failed = told.where("not near").select("node", "hub").join(of("node"), "node", "left").join(of("hub"), "hub", "left")
+    failed = verified.where("not near").select("node", "hub").join(of("node"), "node", "left").join(of("hub"), "hub", "left")
     failed = cut(failed.where(F.coalesce("node_in", "node") != F.coalesce("hub_in", "hub")).select("node", "hub"))
     if failed.isEmpty():
         return nodes, labels
