@@ -62,19 +62,29 @@ def scores(docs: DataFrame, task: str) -> DataFrame:
     small = reduced(docs, terms).persist()
     at = lambda f, k: F.col(f"tf_{f}")[k]
     held = lambda k: F.greatest(*[at(f, k) for f in FIELDS]) > 0
-    stats = small.agg(F.count("*").alias("n"), *[F.avg(f"len_{f}").alias(f"avg_{f}") for f in FIELDS], *[F.count_if(held(k)).alias(f"df_{k}") for k in range(len(terms))])
-    total, exact, path, evidence = F.lit(0.0), F.lit(0.0), F.lit(0.0), []
-    for k, t in enumerate(terms):
+    stats = small.agg(F.count("*").alias("n"), *[F.avg(f"len_{f}").alias(f"avg_{f}") for f in FIELDS], F.array(*[F.count_if(held(F.lit(k))) for k in range(len(terms))]).cast("array<bigint>").alias("df"))
+    places, known = F.sequence(F.lit(0), F.lit(len(terms) - 1)) if terms else F.array().cast("array<int>"), F.array(*map(F.lit, terms)).cast("array<string>")
+
+    def over_terms(value) -> Column:
+        """A fold over the terms: unrolled, the sums would be too long an expression to compile."""
+        return F.aggregate(places, F.lit(0.0), lambda sum_, k: sum_ + value(k))
+
+    def ranked(k: Column) -> Column:
         part = F.lit(0.0)
         for f, w in FIELD_WEIGHTS.items():
             part = part + bm25(at(f, k), F.col(f"len_{f}"), F.col(f"avg_{f}"), F.lit(float(w)))
-        total = total + F.when(F.col(f"df_{k}") > 0, idf(F.col("n"), F.col(f"df_{k}")) * part).otherwise(0.0)
-        for value, worth in ((at("name", k) > 0, 6.0), (at("identifiers", k) > 0, 2.0), (at("literals", k) > 0, 2.0), (F.col("inside")[k], 0.5)):
-            exact = exact + F.when(value, worth).otherwise(0.0)
-        path = path + F.when(at("path", k) > 0, 3.0).otherwise(0.0) + F.when(F.col("in_path")[k], 0.5).otherwise(0.0)
-        evidence.append(F.when(held(k), F.lit(t)))
-    found = F.filter(F.array(*evidence).cast("array<string>"), lambda x: x.isNotNull())
-    return small.join(F.broadcast(stats)).select(*keep, F.round(total, 6).alias("bm25"), exact.alias("exact"), path.alias("path_score"), found.alias("evidence"))  # one row
+        return F.when(F.col("df")[k] > 0, idf(F.col("n"), F.col("df")[k]) * part).otherwise(0.0)
+
+    def worth(*signals: tuple[Column, float]) -> Column:
+        total = F.lit(0.0)
+        for value, points in signals:
+            total = total + F.when(value, points).otherwise(0.0)
+        return total
+
+    exact = over_terms(lambda k: worth((at("name", k) > 0, 6.0), (at("identifiers", k) > 0, 2.0), (at("literals", k) > 0, 2.0), (F.col("inside")[k], 0.5)))
+    path = over_terms(lambda k: worth((at("path", k) > 0, 3.0), (F.col("in_path")[k], 0.5)))
+    found = F.transform(F.filter(places, held), lambda k: known[k])
+    return small.join(F.broadcast(stats)).select(*keep, F.round(over_terms(ranked), 6).alias("bm25"), exact.alias("exact"), path.alias("path_score"), found.alias("evidence"))  # one row
 
 
 def fuse(scored: DataFrame) -> DataFrame:
