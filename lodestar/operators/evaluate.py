@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scoring import level, ratio
+from .ranking import bucket_of, by_bucket
 
 
 def level_satisfies(got: Column, wanted: Column) -> Column:
@@ -43,9 +44,13 @@ def scores(cases: DataFrame, items: DataFrame, gold: DataFrame) -> DataFrame:
 def located_match(items: DataFrame, gold: DataFrame) -> DataFrame:
     """(case_id, target, hit, level_hit): a target is hit by an item around its line or, without a line, of its name."""
     g = gold.select("case_id", "target", F.col("file").alias("gf"), F.col("name").alias("gn"), F.col("line").alias("gl"), F.coalesce("required_level", F.lit("body")).alias("wanted"))
-    i = items.withColumnRenamed("case_id", "ic")
-    same = (F.col("case_id") == F.col("ic")) & (F.col("file") == F.col("gf")) & F.when(F.col("gl").isNull(), F.col("name") == F.col("gn")).otherwise((F.col("start_line") <= F.col("gl")) & (F.col("end_line") >= F.col("gl")))
-    return g.join(i, same, "left").groupBy("case_id", "target").agg(F.bool_or(F.col("ic").isNotNull()).alias("hit"), F.coalesce(F.bool_or(level_satisfies(F.col("level"), F.col("wanted"))), F.lit(False)).alias("level_hit"))
+    i = items.select(F.col("case_id").alias("ic"), "file", "name", "start_line", "end_line", "level")
+    place = (F.col("case_id") == F.col("ic")) & (F.col("file") == F.col("gf"))
+    lined = g.where("gl is not null").withColumn("gb", bucket_of(F.col("gl"))).join(by_bucket(i, "start_line", "end_line", "ib"), place & (F.col("gb") == F.col("ib")) & (F.col("start_line") <= F.col("gl")) & (F.col("end_line") >= F.col("gl")))
+    named = g.where("gl is null").join(i, place & (F.col("name") == F.col("gn")))
+    found = [x.select("case_id", "target", "wanted", F.lit(True).alias("hit"), "level") for x in (lined, named)]
+    every = g.select("case_id", "target", "wanted", F.lit(False).alias("hit"), F.lit(None).cast("string").alias("level")).unionByName(found[0]).unionByName(found[1])
+    return every.groupBy("case_id", "target").agg(F.bool_or("hit").alias("hit"), F.coalesce(F.bool_or(level_satisfies(F.col("level"), F.col("wanted"))), F.lit(False)).alias("level_hit"))
 
 
 def required_context(items: DataFrame, gold: DataFrame) -> DataFrame:

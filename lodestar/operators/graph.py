@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scoring import NESTED_PRIOR, edge_prior, term_hits
 from ..functions.text import spaced
-from .ranking import top_in
+from .ranking import bucket_of, by_bucket, top_in
 
 REVERSE_FAN_IN, SIBLINGS, NESTED, SHARED = 12, 4, 4, 4
 TESTS_PER_LEAD, TESTS_TOTAL, TYPE_USERS, HUB_CALLERS = 3, 4, 3, 25
@@ -160,7 +160,8 @@ def merge_nodes(found: DataFrame) -> DataFrame:
 def locate(entries: DataFrame, nodes: DataFrame) -> DataFrame:
     """(entry_id, node_id): the smallest declaration that holds an entry's lines; entries(entry_id, file, line, end_line)."""
     n = nodes.select(F.col("id").alias("node_id"), F.col("file").alias("nf"), "start_line", F.col("end_line").alias("ne"))
-    held = entries.join(n, (F.col("file") == F.col("nf")) & (F.col("start_line") <= F.col("line")) & (F.col("ne") >= F.coalesce("end_line", "line")))
+    at = entries.withColumn("bucket", bucket_of(F.col("line")))
+    held = at.join(by_bucket(n, "start_line", "ne", "nb"), (F.col("file") == F.col("nf")) & (F.col("bucket") == F.col("nb")) & (F.col("start_line") <= F.col("line")) & (F.col("ne") >= F.coalesce("end_line", "line")))
     return top_in(held.withColumn("span", F.col("ne") - F.col("start_line")), ["entry_id"], ["span", "node_id"], 1).select("entry_id", "node_id")
 
 

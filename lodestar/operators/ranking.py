@@ -54,3 +54,16 @@ def first_seen(values: str, order: list[str]) -> Column:
     """An aggregate: the different values in order of first appearance."""
     each = F.array_sort(F.collect_list(F.struct(*order, values)))
     return F.array_distinct(F.transform(each, lambda x: x[values]))
+
+
+#: Lines to a bucket of ``by_bucket``.
+LINES = 64
+
+
+def by_bucket(spans: DataFrame, start: str, end: str, to: str) -> DataFrame:
+    """A row for each bucket of lines that a span meets, so that what holds a line is found by equality on file and bucket."""
+    return spans.where(F.col(end) >= F.col(start)).withColumn(to, F.explode(F.sequence(bucket_of(F.col(start)), bucket_of(F.col(end)))))
+
+
+def bucket_of(line: Column) -> Column:
+    return F.floor(line / LINES).cast("long")
