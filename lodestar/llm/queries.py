@@ -60,6 +60,16 @@ def op2_recurrent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recurrent.score(docs, *recurrent.fit(docs))
 
 
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op4 that SQL can say."""
+    return op4_quality(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op5 that SQL can say."""
+    return op5_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_recurrent": op2_recurrent,
@@ -72,6 +82,8 @@ QUERIES = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_bagminhash": op10_bagminhash,
     "pipeline": pipeline.run,
+    "quality_base": quality_base,
+    "pii_base": pii_base,
 }
 
 #: Windows of at least 50 words (spaces and one) by their text; the Spark query finds the same by fingerprints and hashes.
@@ -93,4 +105,22 @@ with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::dou
 s as (select a.vec_id query_id, b.vec_id, list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2]))::bigint score from v a join v b on a.vec_id <> b.vec_id and len(a.v) = len(b.v) where a.vec_id % 50 = 0)
 select query_id, (row_number() over (partition by query_id order by score desc, vec_id))::int as rank, vec_id, score from s qualify rank <= 5"""
 
-ORACLE: dict[str, str] = {"op1_line_dedup": LINE_DEDUP_SQL, "op6_balltree": TOP_K_SQL}
+QUALITY_SQL = r"""
+with t as (select doc_id, coalesce(text, '') x, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') ws from documents),
+l as (select doc_id, list_filter(string_split(x, chr(10)), lambda y: regexp_matches(y, '[^\x20\x09-\x0D]')) ls from t),
+g as (select doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] w from (select doc_id, ws, unnest(generate_series(1, len(ws) - 2)) i from t)),
+twice as (select doc_id, i from g qualify count(*) over (partition by doc_id, w) > 1),
+r as (select doc_id, count(distinct i + k)::bigint n from twice, (select unnest([0, 1, 2]) k) group by doc_id)
+select doc_id, len(ws)::bigint n_words, coalesce(list_sum(list_transform(ws, lambda y: length(y))), 0)::bigint word_chars, len(regexp_extract_all(x, '[#*$%&|<>]'))::bigint n_symbols,
+ (len(ls) - len(list_distinct(ls)))::bigint n_dup_lines, coalesce(n, 0) n_repeat_words, len(ws) < 50 or 100 * coalesce(n, 0) > 50 * len(ws) base_failed
+from t join l using (doc_id) left join r using (doc_id)"""
+
+PII_SQL = r"""
+with t as (select doc_id, coalesce(text, '') x from documents),
+d as (select doc_id, regexp_extract_all(x, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') emails, regexp_extract_all(x, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') ips,
+ list_transform(regexp_extract_all(x, '[0-9]([\x20-]?[0-9])+'), lambda y: regexp_replace(y, '[^0-9]', '', 'g')) cards, list_transform(regexp_extract_all(x, '\+[0-9][\x20().0-9-]+[0-9]'), lambda y: regexp_replace(y, '[^0-9]', '', 'g')) phones from t)
+select doc_id, len(emails)::bigint n_email, len(list_filter(ips, lambda y: list_max(list_transform(string_split(y, '.'), lambda p: p::double)) <= 255))::bigint n_ip,
+ len(list_filter(cards, lambda y: length(y) between 14 and 19 and list_sum(list_transform(range(length(y)), lambda i: case when i % 2 = 0 then substr(y, length(y) - i::int, 1)::int else 2 * substr(y, length(y) - i::int, 1)::int - case when substr(y, length(y) - i::int, 1)::int > 4 then 9 else 0 end end)) % 10 = 0))::bigint n_card,
+ len(list_filter(phones, lambda y: length(y) between 10 and 15))::bigint n_phone from d"""
+
+ORACLE: dict[str, str] = {"op1_line_dedup": LINE_DEDUP_SQL, "op6_balltree": TOP_K_SQL, "quality_base": QUALITY_SQL, "pii_base": PII_SQL}
